@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secrets
+from . import decontam, embed, langid, mixing, pii, secrets, simhash, suffix, tokens, toxicity
 from .common import table
 
 
@@ -18,10 +18,48 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.links(table(spark, sf_dir, "embeddings"))
+
+
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.scan(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secrets, op2_pii)
+    found = (op1_secrets, op2_pii, op3_decontamination, op4_toxicity, op5_language, op6_tokens, op7_mixing, op8_simhash, op9_embeddings, op10_passages, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secrets.scan_sql()}
+    return {"op1_secrets": secrets.scan_sql(), "op7_mixing": mixing.scan_sql(), "op9_embeddings": embed.links_sql(), "op10_passages": suffix.scan_sql()}
