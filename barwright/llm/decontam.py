@@ -26,45 +26,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import Portion, Powers, portions
+
 WINDOW, SHARE = 5, 0.8
 #: Characters of benchmark text in a block.
 BLOCK_CHARS = 4_000_000
+#: Words are parted as in ``words``.
+ASCII_SPACE = re.compile(r"[\t-\r ]+")
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?(?:st|nd|rd|th)?")
 #: Units that a number may stand before.
 UNITS = frozenset("mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent mph kmh meter meters metre metres mile miles gram grams kilogram kilograms liter liters litre litres second seconds minute minutes inch inches foot feet".split())
 EDGES = "\"'`.,;:!?()[]{}<>*_~|…“”‘’«»¿¡"
 NUM, UNIT, NAME = "\0n", "\0u", "\0p"
+#: Id of what is no word; words whose forms a task remembers.
+GONE, MEMO = -2, 300_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Canon(dict):
-    """Raw word -> (literal word, template word); forgets all when large, so that memory stays bounded."""
+def _forms(raw: str) -> tuple[str, str]:
+    """Literal and template form of a word, empty for punctuation only."""
+    bare = raw.strip(EDGES)
+    if not bare:
+        return "", ""
+    if (bare[0].isdigit() or bare[0] in "+-$€£") and NUMBER.fullmatch(bare):
+        return NUM, NUM
+    low = bare.lower()
+    return low, NAME if bare[0].isupper() else low
 
-    def __missing__(self, raw: str) -> tuple[str, str]:
-        if len(self) > 200_000:
-            self.clear()
-        bare = raw.strip(EDGES)
-        low = bare.lower()
-        if not bare:
-            found = ("", "")
-        elif NUMBER.fullmatch(bare):
-            found = (NUM, NUM)
-        else:
-            found = (low, NAME if bare[0].isupper() else low)
-        self[raw] = found
-        return found
-
-
-def canonical(text: str | None, canon: _Canon | None = None) -> tuple[list[str], list[str], list[str]]:
-    """(raw, literal, template) words of a text; words of punctuation only are left out."""
-    canon = _Canon() if canon is None else canon
-    raw = [w for w in (text or "").split() if canon[w][0]]
-    literal = [canon[w][0] for w in raw]
-    template = [canon[w][1] for w in raw]
-    for i in range(1, len(raw)):
+
+def canonical(text: str | None) -> tuple[list[str], list[str]]:
+    """Literal and template words of a text; words of punctuation only are left out."""
+    forms = [f for f in map(_forms, ASCII_SPACE.split(text or "")) if f[0]]
+    literal, template = [f[0] for f in forms], [f[1] for f in forms]
+    for i in range(1, len(forms)):
         if literal[i] in UNITS and literal[i - 1] == NUM:
             literal[i] = template[i] = UNIT
-    return raw, literal, template
+    return literal, template
+
+
+class _Coder(dict):
+    """Hash of a raw word -> a code, under which ``table`` holds: literal id, template id, is a number, is a unit."""
+
+    def __init__(self, words: dict[str, int]):
+        self.words = words
+        self.table = np.empty((4, 1 << 16), np.int32)
+        self.powers = Powers()
+
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        get, rows, at = self.words.get, [], len(self)
+        for raw in words:
+            literal, template = _forms(raw)
+            rows.append((get(literal, -1), get(template, -1), literal == NUM, literal in UNITS) if literal else (GONE, GONE, 0, 0))
+        self.update(zip(hashes, range(at, at + len(hashes))))
+        while len(self) > self.table.shape[1]:
+            self.table = np.concatenate((self.table, np.empty_like(self.table)), axis=1)
+        self.table[:, at : len(self)] = np.array(rows, np.int32).T
+
+    def ids(self, portion: Portion) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Literal and template ids of the words of all texts, -1 for unknown ones and after each text; and where each text ends."""
+        if len(self) > MEMO:
+            self.clear()
+        distinct, first, inverse = np.unique(portion.hashes, return_index=True, return_inverse=True)
+        known = distinct.tolist()
+        if fresh := [n for n, h in enumerate(known) if h not in self]:
+            self._learn([known[n] for n in fresh], portion.words_at(first[fresh]))
+        codes = np.fromiter(map(self.__getitem__, known), np.int64, len(known))[inverse]
+        ends = np.cumsum(portion.counts + 1)
+        full = np.full((4, ends[-1] if len(ends) else 0), -1, np.int32)
+        full[2:] = 0
+        full[:, np.arange(len(codes)) + np.repeat(np.arange(len(portion.counts)), portion.counts)] = self.table[:, codes]
+        kept = full[0] != GONE
+        ends = np.cumsum(kept)[ends - 1]
+        literal, template, number, unit = full[:, kept]
+        after = np.flatnonzero(unit[1:] & number[:-1]) + 1
+        literal[after] = template[after] = self.words.get(UNIT, -1)
+        return literal, template, ends
 
 
 def _window_hashes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,66 +124,59 @@ class Block:
     def __init__(self, items: list[tuple]):
         self.items, self.words = [], {}
         for item, text in items:
-            raw, literal, template = canonical(text)
-            if len(raw) >= WINDOW:
+            literal, template = canonical(text)
+            if len(literal) >= WINDOW:
                 self.items.append((item, literal, template))
         for _, *channels in self.items:
             for words in channels:
                 for w in words:
                     self.words.setdefault(w, len(self.words))
         self.tables = [self._table(c) for c in (1, 2)]
+        self.coder = _Coder(self.words)
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        get = self.words.get
-        return np.array([get(w, -1) for w in words], np.int64)
-
-    def _table(self, channel: int):
-        """Sorted (window hash, item number) pairs and the number of distinct windows by item."""
-        hashes, owners, counts = [], [], np.zeros(len(self.items), np.int64)
+    def _table(self, channel: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted window hashes, the item of each, and the number of distinct windows by item."""
+        hashes, owners, counts = [np.empty(0, "u8")], [np.empty(0, np.int64)], np.zeros(len(self.items), np.int64)
         for n, item in enumerate(self.items):
-            distinct = np.unique(_window_hashes(self.ids(item[channel]))[0])
+            distinct = np.unique(_window_hashes(np.array([self.words[w] for w in item[channel]]))[0])
             counts[n] = len(distinct)
             hashes.append(distinct)
             owners.append(np.full(len(distinct), n))
-        h, o = (np.concatenate(x) if x else np.empty(0, k) for x, k in ((hashes, "u8"), (owners, np.int64)))
+        h, o = np.concatenate(hashes), np.concatenate(owners)
         order = np.argsort(h, kind="stable")
         return h[order], o[order], counts
 
-    def held(self, channel: int, ids: np.ndarray) -> dict[int, tuple[float, np.ndarray]]:
-        """Item number -> (share of its windows in the text, where they start), for shares of enough."""
+    def held(self, channel: int, ids: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], float]:
+        """(text, item) -> share of the item's distinct windows in the text, for shares of enough. The join of the windows."""
         keys, owners, counts = self.tables[channel]
         found, at = _window_hashes(ids)
-        if not len(found) or not len(keys):
-            return {}
         low, high = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
         hit = high > low
-        found, at, low, high = found[hit], at[hit], low[hit], high[hit]
-        if not len(found):
-            return {}
-        first, where = np.unique(found, return_index=True)
-        owner = np.concatenate([owners[a:b] for a, b in zip(low[where], high[where])])
-        share = np.bincount(owner, minlength=len(counts)) / np.maximum(counts, 1)
-        out = {}
-        for n in np.flatnonzero(share >= SHARE - 1e-9):
-            mine = [x for x, a, b in zip(at, low, high) if n in owners[a:b]]
-            out[int(n)] = (float(share[n]), np.array(mine))
-        return out
-
-    def consistent(self, n: int, template: list[str], values: list[str], starts: np.ndarray) -> float:
-        """Share of name slots in the matched windows whose value of the item has one value in the text."""
-        _, literal, own = self.items[n]
+        text = np.searchsorted(ends, at[hit], "right")
+        # a window of a text counts once
+        low, high, text = np.unique(np.stack((low[hit], high[hit], text)), axis=1)
+        times = high - low
+        owner = owners[np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        pairs, number = np.unique(np.repeat(text, times) * len(counts) + owner, return_counts=True)
+        share = number / np.maximum(counts[pairs % max(len(counts), 1)], 1) if len(pairs) else number
+        enough = share >= SHARE - 1e-9
+        return {(int(p) // len(counts), int(p) % len(counts)): float(x) for p, x in zip(pairs[enough], share[enough])}
+
+    def consistent(self, n: int, text: str) -> float:
+        """Share of the name slots in matching windows whose value of the item has one value in the text."""
+        literal, template = canonical(text)
+        _, values, own = self.items[n]
         place: dict[tuple, list[int]] = {}
         for i in range(len(own) - WINDOW + 1):
             place.setdefault(tuple(own[i : i + WINDOW]), []).append(i)
         seen: dict[str, dict[str, int]] = {}
-        for s in starts.tolist():
+        for s in range(len(template) - WINDOW + 1):
             at = place.get(tuple(template[s : s + WINDOW]), [])
-            if len(at) != 1:
-                continue
-            for j in range(WINDOW):
-                if own[at[0] + j] == NAME:
-                    told = seen.setdefault(literal[at[0] + j], {})
-                    told[values[s + j]] = told.get(values[s + j], 0) + 1
+            if len(at) == 1:
+                for j in range(WINDOW):
+                    if own[at[0] + j] == NAME:
+                        told = seen.setdefault(values[at[0] + j], {})
+                        told[literal[s + j]] = told.get(literal[s + j], 0) + 1
         total = sum(sum(x.values()) for x in seen.values())
         return sum(max(x.values()) for x in seen.values()) / total if total else 1.0
 
@@ -156,26 +185,23 @@ class Block:
         template = self.items[n][2]
         return sum(w not in (NUM, UNIT, NAME) for w in template) * 2 > len(template)
 
-    def search(self, text: str | None, canon: _Canon) -> Iterator[tuple]:
-        _, literal, template = canonical(text, canon)
-        if len(literal) < WINDOW:
-            return
-        exact = self.held(0, self.ids(literal))
-        loose = self.held(1, self.ids(template))
-        for n in sorted(exact.keys() | loose.keys()):
-            slots = self.consistent(n, template, literal, loose[n][1]) if n in loose else 0.0
-            by_template = n in loose and slots >= SHARE and self.plain_enough(n)
-            if n in exact or by_template:
-                yield self.items[n][0], exact.get(n, (0.0,))[0], loose.get(n, (0.0,))[0], slots
+    def search(self, texts: pa.Array) -> Iterator[tuple]:
+        """(row, item_id, literal share, template share, slot share) for every text and item that it holds."""
+        for portion in portions(texts, self.coder.powers) if self.items else ():
+            literal, template, ends = self.coder.ids(portion)
+            exact, loose = self.held(0, literal, ends), self.held(1, template, ends)
+            for text, n in sorted(exact.keys() | loose.keys()):
+                row = portion.first + text
+                slots = self.consistent(n, texts[row].as_py()) if (text, n) in loose else 0.0
+                if (text, n) in exact or (slots >= SHARE and self.plain_enough(n)):
+                    yield row, self.items[n][0], exact.get((text, n), 0.0), loose.get((text, n), 0.0), slots
 
 
-def _searcher(items: list[tuple], doc_type: pa.DataType | None = None):
+def _searcher(items: list[tuple]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, canon = Block(items), _Canon()
+        block = Block(items)
         for batch in batches:
-            rows = []
-            for n, text in enumerate(batch.column("text")):
-                rows += [(n, *x) for x in block.search(text.as_py(), canon)]
+            rows = list(block.search(batch.column("text")))
             if rows:
                 at, item, exact, loose, slots = (list(x) for x in zip(*rows))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(item, pa.int64()), pa.array(exact, pa.float64()), pa.array(loose, pa.float64()), pa.array(slots, pa.float64())], ["doc_id", "item_id", "literal_share", "template_share", "slot_share"])

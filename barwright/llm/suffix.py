@@ -23,109 +23,97 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import groups
 from .common import Staged
+from .words import BASE, Powers, mix, portions, stretch_hashes
 
-MINIMUM, SEED_WORDS, HEAVY, MEMO = 50, 25, 20_000, 300_000
+MINIMUM, SEED_WORDS, HEAVY = 50, 25, 20_000
 WINDOW = MINIMUM - SEED_WORDS + 1
 SIDE = MINIMUM - SEED_WORDS
-BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash; forgets all when large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word) | 1
-        return found
-
-
-def _words(raw: bytes | None, known: _Hashes) -> np.ndarray:
-    words = (raw or b"").split()
-    return np.fromiter(map(known.__getitem__, words), "u8", len(words))
-
-
-def _powers(n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.full(n, BASE, "u8"))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _runs(words: np.ndarray, powers: Powers) -> np.ndarray:
+    """A hash of each seed."""
+    if len(words) < SEED_WORDS:
+        return np.empty(0, "u8")
+    starts = np.arange(len(words) - SEED_WORDS + 1)
+    return stretch_hashes(words, starts, starts + SEED_WORDS, powers)
 
 
-def _runs(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n words."""
-    if len(words) < n:
-        return np.empty(0, "u8")
-    out = np.zeros(len(words) - n + 1, "u8")
-    for i in range(n):
-        out = out * BASE + words[i : i + len(out)]
-    return _mix(out)
+def _sliding(x: np.ndarray, n: int, least: bool) -> np.ndarray:
+    """The least or greatest of each n neighbours, from running ones within blocks of n, forwards and backwards."""
+    better, worst = (np.minimum, ~np.uint64(0)) if least else (np.maximum, np.uint64(0))
+    blocks = np.append(x, np.full(-len(x) % n, worst, "u8")).reshape(-1, n)
+    forward = better.accumulate(blocks, axis=1).ravel()
+    backward = better.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    count = len(x) - n + 1
+    return better(backward[:count], forward[n - 1 : n - 1 + count])
 
 
-def _selected(seeds: np.ndarray) -> np.ndarray:
-    """Positions that hold the least seed hash (the rightmost of equal ones) of some window."""
+def _selected(words: np.ndarray, begins: np.ndarray, counts: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose seed is the least of some window of seeds within one text, and all seeds."""
+    seeds = _runs(words, powers)
     if len(seeds) < WINDOW:
-        return np.empty(0, np.int64)
-    least = seeds[: len(seeds) - WINDOW + 1].copy()
-    at = np.arange(len(least))
-    for i in range(1, WINDOW):
-        other = seeds[i : i + len(least)]
-        take = other <= least
-        least = np.where(take, other, least)
-        at = np.where(take, np.arange(i, i + len(at)), at)
-    return np.unique(at)
+        return np.empty(0, np.int64), seeds
+    least = _sliding(seeds, WINDOW, True)
+    inside = np.zeros(len(words) + 1, np.int64)
+    long = counts >= MINIMUM
+    np.add.at(inside, begins[long], 1)
+    np.add.at(inside, begins[long] + counts[long] - MINIMUM + 1, -1)
+    least = np.where(np.cumsum(inside)[: len(least)] > 0, least, np.uint64(0))
+    edge = np.zeros(WINDOW - 1, "u8")
+    return np.flatnonzero(_sliding(np.concatenate((edge, least, edge)), WINDOW, False)[: len(seeds)] == seeds), seeds
 
 
 def _retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Hashes()
+    powers = Powers()
     for batch in batches:
-        docs, at, seeds = [], [], []
-        for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())):
-            run = _runs(_words(raw.as_py(), known), SEED_WORDS)
-            chosen = _selected(run)
-            docs.append(np.full(len(chosen), doc))
-            at.append(chosen)
-            seeds.append(run[chosen].view("i8"))
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in ((docs, "i8"), (at, "i4"), (seeds, "i8"))], ["doc_id", "pos", "seed"])
+        docs = batch.column("doc_id").to_numpy()
+        for portion in portions(batch.column("text"), powers):
+            first, counts = portion.first, portion.counts
+            words, begins = portion.spaced(1)
+            at, seeds = _selected(words, begins, counts, powers)
+            row = np.searchsorted(begins, at, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(docs[first + row]), pa.array((at - begins[row]).astype("i4")), pa.array(seeds[at].view("i8"))], ["doc_id", "pos", "seed"])
 
 
 def _surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For the given suffixes of each text: the words around the seed, zeros beyond the text's ends."""
-    known = _Hashes()
+    powers = Powers()
+    places = np.concatenate((np.arange(-SIDE, 0), np.arange(SEED_WORDS, SEED_WORDS + SIDE)))
     for batch in batches:
-        docs, at, seeds, around = [], [], [], []
-        rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("at").to_pylist(), batch.column("seeds").to_pylist())
-        for doc, raw, wanted, own in rows:
-            words = _words(raw.as_py(), known)
-            run = _runs(words, SEED_WORDS)
-            full = np.concatenate((np.zeros(SIDE, "u8"), words, np.zeros(SIDE, "u8")))
-            for p, seed in sorted(set(zip(wanted, own))):
-                if p < len(run) and run.view("i8")[p] == seed:  # another row of the same doc_id may lack it
-                    docs.append(doc)
-                    at.append(p)
-                    seeds.append(seed)
-                    around.append(np.concatenate((full[p : p + SIDE], full[p + SIDE + SEED_WORDS : p + 2 * SIDE + SEED_WORDS])).astype("<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(seeds, pa.int64()), pa.array(around, pa.binary())], ["doc_id", "pos", "seed", "around"])
+        docs, wanted = batch.column("doc_id").to_numpy(), batch.column("wanted")
+        for portion in portions(batch.column("text"), powers):
+            first, counts = portion.first, portion.counts
+            words, begins = portion.spaced(SIDE)
+            part = wanted.slice(first, len(counts))
+            row = np.repeat(np.arange(len(counts)), pc.list_value_length(part).to_numpy())
+            flat = part.flatten()
+            pos, seed = flat.field("pos").to_numpy(), flat.field("seed").to_numpy()
+            # another row of the same doc_id may lack the suffix
+            fits = pos + SEED_WORDS <= counts[row]
+            row, pos, seed = row[fits], pos[fits], seed[fits]
+            seeds = _runs(words, powers)
+            same = seeds[begins[row] + pos].view("i8") == seed
+            row, pos, seed = row[same], pos[same], seed[same]
+            full = np.concatenate((np.zeros(SIDE, "u8"), words)).astype("<u4")
+            around = full[(begins[row] + pos + SIDE)[:, None] + places]
+            fixed = pa.Array.from_buffers(pa.binary(8 * SIDE), len(row), [None, pa.py_buffer(around.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[first + row]), pa.array(pos.astype("i4")), pa.array(seed), fixed.cast(pa.binary())], ["doc_id", "pos", "seed", "around"])
 
 
 def _stretches(around: list[bytes]) -> np.ndarray:
     """Column o: a hash of the stretch that has o words left of the seed and the rest right of it; 0 where the text ends inside it."""
     words = np.frombuffer(b"".join(around), "<u4").reshape(-1, 2 * SIDE).astype("u8")
     left, right = words[:, :SIDE][:, ::-1], words[:, SIDE:]
-    power = _powers(SIDE)
+    power = np.multiply.accumulate(np.full(SIDE, BASE, "u8"))
     lefts = np.concatenate((np.zeros((len(words), 1), "u8"), np.cumsum(left * power, axis=1, dtype="u8")), axis=1)
     rights = np.concatenate((np.zeros((len(words), 1), "u8"), np.cumsum(right * power, axis=1, dtype="u8")), axis=1)
-    made = _mix(lefts * np.uint64(0xD6E8FEB86659FD93) + rights[:, ::-1] + np.arange(SIDE + 1, dtype="u8"))
+    made = mix(lefts * np.uint64(0xD6E8FEB86659FD93) + rights[:, ::-1] + np.arange(SIDE + 1, dtype="u8"))
     inside = np.concatenate((np.ones((len(words), 1), bool), np.cumsum(left == 0, axis=1) == 0), axis=1) & np.concatenate((np.ones((len(words), 1), bool), np.cumsum(right == 0, axis=1) == 0), axis=1)[:, ::-1]
     return np.where(inside, made | np.uint64(1), np.uint64(0))
 
@@ -182,7 +170,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """A row for each retained suffix in a repeated passage: doc_id, pos, offsets (words left of the seed in each repeated stretch), heads (an earlier doc_id that has the stretch, or its own)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    wanted = suffixes(rows).groupBy("doc_id").agg(F.collect_list("pos").alias("at"), F.collect_list("seed").alias("seeds"))
+    wanted = suffixes(rows).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("pos", "seed")).alias("wanted"))
     around = Staged(rows.join(wanted, "doc_id").mapInArrow(_surround, "doc_id long, pos int, seed long, around binary"), "suffix-words").read()
     shape = Staged(around.groupBy("seed", "around").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "suffix-kinds").read()
     many = shape.groupBy("seed").count().where(F.col("count") > heavy).select("seed")
