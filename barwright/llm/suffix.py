@@ -170,7 +170,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """A row for each retained suffix in a repeated passage: doc_id, pos, offsets (words left of the seed in each repeated stretch), heads (an earlier doc_id that has the stretch, or its own)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    wanted = suffixes(rows).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("pos", "seed")).alias("wanted"))
+    wanted = suffixes(rows).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "seed")).alias("wanted"))
     around = Staged(rows.join(wanted, "doc_id").mapInArrow(_surround, "doc_id long, pos int, seed long, around binary"), "suffix-words").read()
     shape = Staged(around.groupBy("seed", "around").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "suffix-kinds").read()
     many = shape.groupBy("seed").count().where(F.col("count") > heavy).select("seed")
