@@ -14,7 +14,10 @@ hash; an empty table gives an empty file and result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -30,7 +33,7 @@ from .common import Staged, text_or_empty
 
 END, SAMPLE, DICT_BYTES, BLOCK_DOCS, BLOCK_BYTES = 1, 2000, 65536, 256, 1 << 20
 BLOCKS = "part int, block long, dict_hash string, first_doc long, last_doc long, docs array<long>, tokens array<int>, offsets array<long>, start long, total long, width int, data binary"
-MEMO = 400_000
+MEMO = 200_000
 
 
 def default_path() -> str:
@@ -39,31 +42,77 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters (whose lower case and bytes need no normalising), then signs: such a chunk is a word and a run of signs to the tokenizer.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write each byte as a printable character."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
 class Encoder:
-    """Ids of whole texts. The tokenizer never joins across a space or a line feed, so what stands between them is encoded once and remembered; the memory is bounded."""
+    """Ids of whole texts.
+
+    The tokenizer never joins across a space or a line feed, so what stands between them (a chunk) is encoded once
+    and remembered. A chunk of letters and signs is put together from its word and its signs, and words go straight
+    to the vocabulary's model. Both memories are bounded.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one thread
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.memo: dict[str, bytes] = {"": b""}
+        self.letters = str.maketrans(_byte_letters())
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
+
+    @staticmethod
+    @functools.lru_cache(maxsize=1)
+    def at(path: str) -> Encoder:
+        """The process's encoder; what it remembers serves the next task."""
+        return Encoder(path)
+
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        if len(self.words) > MEMO:
+            self.words.clear()
+        if len(self.signs) > MEMO // 8:
+            self.signs = {"": b""}
+        split = [(c, m[1].lower(), m[2]) if (m := PLAIN.fullmatch(c)) else (c, None, "") for c in fresh]
+        words = list({w for _, w, _ in split if w is not None and w not in self.words})
+        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words]
+        self.words.update(zip(words, [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(shown, add_special_tokens=False)]))
+        signs = list({g for _, _, g in split if g not in self.signs})
+        self.signs.update(zip(signs, self._encoded(signs)))
+        odd = [c for c, w, _ in split if w is None]
+        self.chunks.update(zip(odd, self._encoded(odd)))
+        self.chunks.update((c, self.words[w] + self.signs[g]) for c, w, g in split if w is not None)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, END included."""
-        if len(self.memo) > MEMO:
-            self.memo = {"": b""}
+        if len(self.chunks) > MEMO:  # what is not met again soon is forgotten
+            self.older, self.chunks = self.chunks, {"": b""}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({w for words in split for w in words if w not in self.memo})
-        for i in range(0, len(fresh), 1 << 14):
-            part = fresh[i : i + (1 << 14)]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[w] = array("I", e.ids).tobytes()
-        get, end = self.memo.__getitem__, array("I", [END]).tobytes()
-        return [b"".join(map(get, words)) + end for words in split]
+        fresh = list({c for chunks in split for c in chunks if c not in self.chunks})
+        self.chunks.update({c: self.older[c] for c in fresh if c in self.older})
+        fresh = [c for c in fresh if c not in self.older]
+        for i in range(0, len(fresh), 1 << 13):
+            self._learn(fresh[i : i + (1 << 13)])
+        get, end = self.chunks.__getitem__, array("I", [END]).tobytes()
+        return [b"".join(map(get, chunks)) + end for chunks in split]
 
 
-def _in_slices(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
+def _in_slices(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
     part, held = [], 0
     for t in texts:
         part.append(t)
@@ -81,7 +130,7 @@ def _narrow(raw: bytes, width: int) -> bytes:
 
 def _trainer(path_of: Callable[[], str]):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path_of())
+        encoder = Encoder.at(path_of())
         samples = []
         for batch in batches:
             for part in _in_slices(batch.column("text").to_pylist()):
@@ -109,7 +158,7 @@ def _dictionary(made: bytes) -> zstandard.ZstdCompressionDict | None:
 
 def _writer(path_of: Callable[[], str], made: bytes):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path_of())
+        encoder = Encoder.at(path_of())
         packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(made)) if _dictionary(made) else zstandard.ZstdCompressor(level=3)
         part, name = TaskContext.get().partitionId(), hashlib.sha256(made).hexdigest()
         number = start = 0
