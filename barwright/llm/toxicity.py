@@ -14,6 +14,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -27,9 +28,11 @@ from .common import Staged
 
 #: Labelled rows to fit on, at most in expectation (chosen by a hash), and lexicon entries at most.
 FIT_ROWS, ENTRIES = 16_000, 4_000
-SHORTEST, LONGEST, LEAST_DOCS, LEAST_ODDS, EXCEPTION_DOCS = 3, 14, 3, 3.0, 3
-#: Signs and letters of other scripts that pass for Latin letters.
-LOOKALIKES = dict(zip("013457@$!|аеорсхуіјѕԁһкмнтвαβεικνορτυχ", "oieastasiiaeopcxyijsdhkmhtbabeiknoptux"))
+SHORTEST, LONGEST, LEAST_DOCS, LEAST_ODDS, EXCEPTION_DOCS = 3, 14, 4, 1.5, 3
+#: Letters of other scripts and digits that pass for Latin letters, and signs that do within a word.
+LOOKALIKES = dict(zip("013457аеорсхуіјѕԁһкмтвαεικνορτυχ", "oieastaeopcxyijsdhkmtbaeiknoptux"))
+SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l"}
+DISGUISED = re.compile(r"(?<=[^\W\d_])[@$!|](?=[^\W\d_])")
 
 
 def held_out() -> Column:
@@ -37,36 +40,60 @@ def held_out() -> Column:
 
 
 class _Fold(dict):
-    """Code point -> folded string: one letter, or a space for what is not a letter."""
+    """Code point -> folded string: letters, or a space for what is not a letter. ``bare``: marks on letters go as well."""
+
+    def __init__(self, bare: bool):
+        self.bare = bare
 
     def __missing__(self, code: int) -> str:
-        c = chr(code).lower()
+        c = unicodedata.normalize("NFKC", chr(code)).lower()
+        if self.bare:
+            c = unicodedata.normalize("NFKD", c)
         found = ""
-        for x in unicodedata.normalize("NFKD", LOOKALIKES.get(c, c)):
+        for x in c:
             x = LOOKALIKES.get(x, x)
             found += x if x.isalpha() else "" if unicodedata.combining(x) or unicodedata.category(x) == "Cf" else " "
         self[code] = found
         return found
 
 
-FOLD = _Fold()
+FOLDS = (_Fold(False), _Fold(True))
 
 
-def fold(text: str | None) -> str:
+def fold(text: str | None, bare: bool = True) -> str:
     """Folded words, each after one space, and a space at the end."""
-    return " " + " ".join((text or "").translate(FOLD).split()) + " "
+    text = text or ""
+    if any(sign in text for sign in SIGNS):
+        text = DISGUISED.sub(lambda m: SIGNS[m[0]], text)
+    return " " + " ".join(text.translate(FOLDS[bare]).split()) + " "
+
+
+def views(text: str | None) -> list[str]:
+    """The text with the marks on its letters and, where that differs, without them."""
+    marked, bare = fold(text, False), fold(text, True)
+    return [marked] if marked == bare else [marked, bare]
 
 
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many toxic and other documents have a word that begins so; a trailing space marks a whole word."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    """How many toxic and other documents have a word that begins so, and how many words do; a trailing space marks a whole word."""
+    docs: tuple[Counter, Counter] = (Counter(), Counter())
+    uses: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = set(fold(text).split())
-            counts[toxic].update({w[:n] for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)} | {w + " " for w in words if len(w) <= LONGEST})
-    # what stands in no toxic document of the task but is common elsewhere must still be counted
-    terms = list(counts[1].keys() | counts[0].keys())
-    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())], ["term", "bad", "good"])
+            seen: Counter = Counter()
+            # a word counts up to three times in a document, so that repeated lines do not outweigh others
+            words = Counter(w for view in views(text) for w in view.split())
+            for w, n in words.items():
+                n = min(n, 3)
+                for k in range(SHORTEST, min(LONGEST, len(w)) + 1):
+                    seen[w[:k]] += n
+                if len(w) <= LONGEST:
+                    seen[w + " "] += n
+            seen[""] += sum(min(n, 3) for n in words.values())
+            docs[toxic].update(seen.keys())
+            uses[toxic].update(seen)
+    terms = list(docs[1].keys() | docs[0].keys())
+    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([c[t] for t in terms], pa.int64()) for c in (docs[1], docs[0], uses[1], uses[0])]], ["term", "bad", "good", "bad_uses", "good_uses"])
 
 
 class Lexicon:
@@ -104,13 +131,16 @@ class Lexicon:
         return ([folded[before:stop]] if before < at else []) + ([folded[at:after]] if after > 0 else [])
 
     def features(self, text: str | None) -> tuple[float, float]:
-        """Log of the matched weight, and its share of the words."""
-        folded = fold(text)
-        found = self.matches(folded)
-        if self.exceptions and found:
-            found = {at: w for at, w in found.items() if self.exceptions.isdisjoint(self.pairs(folded, at))}
-        total = sum(found.values())
-        return float(np.log1p(total)), total / (folded.count(" ") + 10) * 10
+        """Log of the matched weight, each word once, and the share of the words that all matches are, by weight; of the view that has more."""
+        best = (0.0, 0.0)
+        for folded in views(text):
+            found = self.matches(folded)
+            if self.exceptions and found:
+                found = {at: w for at, w in found.items() if self.exceptions.isdisjoint(self.pairs(folded, at))}
+            if found:
+                distinct = {folded[at : folded.index(" ", at)]: w for at, w in found.items()}
+                best = max(best, (float(np.log1p(sum(distinct.values()))), float(np.log1p(100 * sum(found.values()) / (folded.count(" ") + 20)))))
+        return best
 
     def score(self, text: str | None) -> float:
         if self.fit is None:
@@ -125,8 +155,7 @@ def _pairs(lexicon: Lexicon):
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                folded = fold(text)
-                counts[toxic].update({p for at in lexicon.matches(folded) for p in lexicon.pairs(folded, at)})
+                counts[toxic].update({p for folded in views(text) for at in lexicon.matches(folded) for p in lexicon.pairs(folded, at)})
         terms = list(counts[0])  # an exception must stand in harmless documents
         terms += [t for t in counts[1] if t not in counts[0]]
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())], ["term", "bad", "good"])
@@ -166,9 +195,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, entries: int =
     if not bad or not good:
         return Lexicon({})
     count = "term string, bad long, good long"
-    summed = lambda df: df.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    terms = summed(held.mapInArrow(_beginnings, count)).withColumn("odds", odds).where((F.col("bad") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS) & (F.col("good") * 10 <= F.col("bad")))
+    summed = lambda df: df.groupBy("term").agg(*[F.sum(c).alias(c) for c in df.columns[1:]])
+    terms = Staged(summed(held.mapInArrow(_beginnings, f"{count}, bad_uses long, good_uses long")), "toxic-terms").read()
+    words = terms.where("term = ''").first()
+    odds = lambda a, b, m, n: F.log((F.col(a) + 0.5) / (m + 1.0)) - F.log((F.col(b) + 0.5) / (n + 1.0))
+    terms = terms.where("term != ''").withColumn("odds", odds("bad_uses", "good_uses", words["bad_uses"], words["good_uses"]))
+    terms = terms.where((F.col("bad") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS) & (odds("bad", "good", bad, good) >= LEAST_ODDS))
     best = terms.orderBy(F.desc(F.col("odds") * F.log1p("bad")), "term").limit(entries).collect()
     lexicon = Lexicon({r["term"]: r["odds"] for r in best})
     common = summed(held.mapInArrow(_pairs(lexicon), count)).where((F.col("good") >= EXCEPTION_DOCS) & (F.col("good") * bad > 10 * F.col("bad") * good))
