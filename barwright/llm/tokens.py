@@ -149,7 +149,8 @@ def train_dictionary(docs: DataFrame, path_of: Callable[[], str] = default_path,
     rows = docs.count()
     share = F.pmod(F.xxhash64(F.lit("dictionary"), "doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(rows, 1)) * (1 << 30))
     chosen = docs.where(share).select(text_or_empty().alias("text")).limit(4 * sample).coalesce(1)
-    return bytes(chosen.mapInArrow(_trainer(path_of), "made binary").first()["made"])
+    made = chosen.mapInArrow(_trainer(path_of), "made binary").first()
+    return bytes(made["made"]) if made else b""
 
 
 def _dictionary(made: bytes) -> zstandard.ZstdCompressionDict | None:
