@@ -13,8 +13,10 @@ any training row all is ``und``; other columns are ignored, and lang is read in
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: Training rows in expectation, at most (chosen by a hash); what learning reads is bounded by it.
 FIT_ROWS = 20_000
-LONGEST, FALLBACK, SMOOTH, MEMO = 32, 1e-8, 0.1, 300_000
+LONGEST, FALLBACK, SMOOTH, MEMO = 32, 1e-8, 0.1, 200_000
 UNKNOWN = "und"
 #: A text is rejected if it is ``und`` or no language is likelier than this.
 LEAST = 0.3
@@ -39,8 +41,12 @@ def held_out(parts: int = 5, part: int = 0) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+SIGNS = str.maketrans(dict.fromkeys("!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~", " "))
+
+
 def _words(text: str) -> list[str]:
-    words = text.lower().split()
+    """Words in lower case; signs and digits part them, as they belong to no language."""
+    words = text.lower().translate(SIGNS).split()
     if max(map(len, words), default=0) <= LONGEST:
         return words
     return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
@@ -65,7 +71,7 @@ class Pieces:
             for i in range(self.size):
                 piece = self.model.id_to_piece(i)
                 if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i)) and piece == piece.lower():
-                    made.add_word(piece, (len(piece), i))
+                    made.add_word(piece, len(piece) << 32 | i)
             made.make_automaton()
             self._automaton = made
         return self._automaton
@@ -113,10 +119,23 @@ def fit(docs: DataFrame, path_of: Callable[[], str] = default_path, rows: int =
 
 
 class Scorer:
+    """What a process knows of words: their scores in rows of ``known``, by two memories that take turns, so that what is not met again is forgotten."""
+
     def __init__(self, model: Model, path: str):
         self.model, self.pieces = model, Pieces(path)
         self.memo: dict[str, int] = {}
         self.known = np.empty((0, len(model.langs)))
+        self.older: tuple[dict[str, int], np.ndarray] = ({}, self.known)
+
+    _last: tuple | None = None
+
+    @classmethod
+    def at(cls, model: Model, path: str) -> Scorer:
+        """The process's scorer for this model; it serves the next task too."""
+        name = (path, tuple(model.langs), hashlib.sha256(model.table.tobytes()).hexdigest())
+        if cls._last is None or cls._last[0] != name:
+            cls._last = (name, cls(model, path))
+        return cls._last[1]
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Forward pass over all words at once: log of the sum over segmentations, by word and language."""
@@ -125,9 +144,8 @@ class Scorer:
             starts.append(at)
             texts.append("▁" + w)
             at += len(w) + 2
-        ends, ids = [], []
-        spans = [(e, *v) for e, v in self.pieces.automaton.iter("\n".join(texts))]
-        end, length, piece = np.array(spans, np.int64).reshape(-1, 3).T
+        spans = np.fromiter(chain.from_iterable(self.pieces.automaton.iter("\n".join(texts))), np.int64)
+        end, length, piece = spans[::2], spans[1::2] >> 32, spans[1::2] & 0xFFFFFFFF
         begin = np.array(starts)
         lens = np.array([len(t) for t in texts])
         word = np.searchsorted(begin, end, "right") - 1
@@ -148,10 +166,13 @@ class Scorer:
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log likelihood by text and language."""
         if len(self.memo) > MEMO:
-            self.memo, self.known = {}, self.known[:0]
+            self.older, self.memo, self.known = (self.memo, self.known), {}, self.known[:0]
         split = [_words(t) for t in texts]
         fresh = list({w for words in split for w in words if w not in self.memo})
-        made = [self.known]
+        again = [w for w in fresh if w in self.older[0]]
+        made = [self.known, self.older[1][[self.older[0][w] for w in again]]]
+        self.memo.update(zip(again, range(len(self.memo), len(self.memo) + len(again))))
+        fresh = [w for w in fresh if w not in self.memo]
         for i in range(0, len(fresh), 4000):
             part = fresh[i : i + 4000]
             self.memo.update(zip(part, range(len(self.memo), len(self.memo) + len(part))))
@@ -163,7 +184,7 @@ class Scorer:
 
 class Judge:
     def __init__(self, model: Model, path: str):
-        self.model, self.scorer = model, Scorer(model, path)
+        self.model, self.scorer = model, Scorer.at(model, path)
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and posterior by text."""
