@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import rowwise
 from .model import EPSILON, Series, without_nan
-from .operators import bars, bricks, recursive, rolling, summaries, totals
+from .operators import bars, bricks, long, recursive, rolling, summaries, totals
 from .sources.readers import ticks_from_events
 
 TICKS, BARS = Series(("key",), ("ts", "event_id")), Series(("key",), ("ts",))
@@ -221,6 +221,9 @@ o AS (SELECT b.key, b.ts, CASE WHEN dir = 1 THEN fl ELSE fu END AS supertrend, d
         "multiple_averages", lambda d: recursive.multiple_averages(d, s, sma=(5, 20), ema=(5, 20), sma_shift={20: 2}), ("sma_5", "sma_20", "ema_5", "ema_20"),
         f"{ema('e', 5, least=1)}, {ema('f', 20, least=1)}, a AS (SELECT key, ts, {_full(5, 'avg', 'close')} AS sma_5, {_full(20, 'avg', 'close')} AS x FROM hb), o AS (SELECT key, ts, sma_5, {_lag('x', 2)} AS sma_20, e.y AS ema_5, f.y AS ema_20 FROM a JOIN e USING (key, ts) JOIN f USING (key, ts))",
     )
+    # the same over series cut in blocks of rows
+    _on_candles("ema_blocked", lambda d: long.ema(d, s, 12, rows=50), ("ema",), f"{ema('e', 12)}, o AS (SELECT key, ts, y AS ema FROM e)")
+    _windowed("bollinger_blocked", lambda d: long.blocked(d, s, 19, rolling.bollinger, rows=50), bb_upper=f"{mid} + 2 * {off}", bb_middle=mid, bb_lower=f"{mid} - 2 * {off}")
     batch = ("atr", "rsi", "stoch_k", "stoch_d", "bb_upper", "bb_middle", "bb_lower", "obv", "macd_line", "macd_signal", "macd_histogram")
     batch_sql = f"""{rsi(14)}, {ranged}, {_ewm('ra', 'tr', 'r', 1 / 14)}, {macd},
 w1 AS (SELECT key, ts, {k(14)} AS stoch_k, {mid} + 2 * {off} AS bb_upper, {mid} AS bb_middle, {mid} - 2 * {off} AS bb_lower, {obv} AS x FROM hb),
