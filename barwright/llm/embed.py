@@ -27,6 +27,8 @@ from .common import Staged
 from .components import connected_components
 
 LEAST, TREES, LEAF, SPILL, SAMPLE, SEED, BLOCK = 0.98, 6, 512, 0.03, 20_000, 7, 2048
+#: Of the sample, whatever the vectors' length.
+SAMPLE_BYTES = 16 << 20
 
 
 class Tree:
@@ -154,9 +156,10 @@ def _fit(nodes: DataFrame, trees: int, leaf: int, spill: float, sample: int, see
     counts = {r["size"]: r["count"] for r in nodes.groupBy("size").count().collect()}
     out = {}
     for size, count in counts.items():
-        share = min(1.0, sample / count)
+        most = min(sample, SAMPLE_BYTES // (8 * size))
+        share = min(1.0, most / count)
         chosen = nodes.where((F.col("size") == size) & (F.pmod(F.xxhash64(F.lit("forest"), "unit"), F.lit(1 << 30)) < int(share * (1 << 30))))
-        rows = [bytes(r[0]) for r in chosen.select("unit").limit(2 * sample).collect()]
+        rows = [bytes(r[0]) for r in chosen.select("unit").limit(2 * most).collect()]
         held = _matrix(pa.array(sorted(rows), pa.binary()), size)
         out[size] = [Tree(held, max(8, int(leaf * share)), seed + n, spill) for n in range(trees)]
     return out
