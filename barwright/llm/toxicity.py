@@ -29,6 +29,8 @@ from .common import Staged
 #: Labelled rows to fit on, at most in expectation (chosen by a hash), and lexicon entries at most.
 FIT_ROWS, ENTRIES = 16_000, 4_000
 SHORTEST, LONGEST, LEAST_DOCS, LEAST_ODDS, EXCEPTION_DOCS = 3, 14, 4, 1.5, 3
+#: Terms that a task counts before it gives them out.
+HELD = 300_000
 #: Letters of other scripts and digits that pass for Latin letters, and signs that do within a word.
 LOOKALIKES = dict(zip("013457аеорсхуіјѕԁһкмтвαεικνορτυχ", "oieastaeopcxyijsdhkmtbaeiknoptux"))
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l"}
@@ -74,10 +76,14 @@ def views(text: str | None) -> list[str]:
     return [marked] if marked == bare else [marked, bare]
 
 
+def _counted(counts: dict[str, list[int]]) -> pa.RecordBatch:
+    columns = list(zip(*counts.values()))
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *[pa.array(c, pa.int64()) for c in columns]], ["term", "bad", "good", "bad_uses", "good_uses"][: 1 + len(columns)])
+
+
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many toxic and other documents have a word that begins so, and how many words do; a trailing space marks a whole word."""
-    docs: tuple[Counter, Counter] = (Counter(), Counter())
-    uses: tuple[Counter, Counter] = (Counter(), Counter())
+    """How many toxic and other documents have a word that begins so, and how many words do; a trailing space marks a whole word. Partial counts, given out whenever a task holds ``HELD`` terms."""
+    counts: dict[str, list[int]] = {}
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             seen: Counter = Counter()
@@ -90,10 +96,15 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(w) <= LONGEST:
                     seen[w + " "] += n
             seen[""] += sum(min(n, 3) for n in words.values())
-            docs[toxic].update(seen.keys())
-            uses[toxic].update(seen)
-    terms = list(docs[1].keys() | docs[0].keys())
-    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([c[t] for t in terms], pa.int64()) for c in (docs[1], docs[0], uses[1], uses[0])]], ["term", "bad", "good", "bad_uses", "good_uses"])
+            for term, n in seen.items():
+                row = counts.setdefault(term, [0, 0, 0, 0])
+                row[1 - toxic] += 1
+                row[3 - toxic] += n
+            if len(counts) > HELD:
+                yield _counted(counts)
+                counts = {}
+    if counts:
+        yield _counted(counts)
 
 
 class Lexicon:
@@ -152,13 +163,13 @@ class Lexicon:
 
 def _pairs(lexicon: Lexicon):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
+            counts: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                counts[toxic].update({p for folded in views(text) for at in lexicon.matches(folded) for p in lexicon.pairs(folded, at)})
-        terms = list(counts[0])  # an exception must stand in harmless documents
-        terms += [t for t in counts[1] if t not in counts[0]]
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())], ["term", "bad", "good"])
+                for term in {p for folded in views(text) for at in lexicon.matches(folded) for p in lexicon.pairs(folded, at)}:
+                    counts.setdefault(term, [0, 0])[1 - toxic] += 1
+            if counts:
+                yield _counted(counts)
 
     return pairs
 
