@@ -17,10 +17,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from .common import Staged, text_or_empty
 
 END, SAMPLE, DICT_BYTES, BLOCK_DOCS, BLOCK_BYTES = 1, 2000, 65536, 256, 1 << 20
 BLOCKS = "part int, block long, dict_hash string, first_doc long, last_doc long, docs array<long>, tokens array<int>, offsets array<long>, start long, total long, width int, data binary"
-MEMO = 200_000
+MEMO = 300_000
 
 
 def default_path() -> str:
@@ -42,8 +42,8 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Letters (whose lower case and bytes need no normalising), then signs: such a chunk is a word and a run of signs to the tokenizer.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@[-`{-~]*)")
+#: Signs that a chunk may end in; to the tokenizer they are a run apart from the word before them.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -67,7 +67,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one thread
         self.tokenizer = Tokenizer.from_file(path)
         self.model = Tokenizer(self.tokenizer.model)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.width, self.kind = (2, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")
         self.letters = str.maketrans(_byte_letters())
         self.chunks: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
@@ -80,35 +80,53 @@ class Encoder:
         """The process's encoder; what it remembers serves the next task."""
         return Encoder(path)
 
-    def _encoded(self, chunks: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _encoded(self, encoder, texts: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for e in encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, fresh: list[str]) -> None:
         if len(self.words) > MEMO:
             self.words.clear()
         if len(self.signs) > MEMO // 8:
             self.signs = {"": b""}
-        split = [(c, m[1].lower(), m[2]) if (m := PLAIN.fullmatch(c)) else (c, None, "") for c in fresh]
-        words = list({w for _, w, _ in split if w is not None and w not in self.words})
-        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words]
-        self.words.update(zip(words, [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(shown, add_special_tokens=False)]))
-        signs = list({g for _, _, g in split if g not in self.signs})
-        self.signs.update(zip(signs, self._encoded(signs)))
-        odd = [c for c, w, _ in split if w is None]
-        self.chunks.update(zip(odd, self._encoded(odd)))
-        self.chunks.update((c, self.words[w] + self.signs[g]) for c, w, g in split if w is not None)
+        # letters of Latin-1: their lower case and bytes need no normalising
+        cores = [c.rstrip(SIGNS) for c in fresh]
+        plain = [w.isalpha() and (w.isascii() or max(w) < "Ā") for w in cores]
+        words = {w: w.lower() for w, p in zip(cores, plain) if p}
+        new = list({w for w in words.values() if w not in self.words})
+        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in new]
+        self.words.update(zip(new, self._encoded(self.model, shown)))
+        ends = [c[len(w) :] for c, w in zip(fresh, cores)]
+        signs = list({g for g, p in zip(ends, plain) if p and g not in self.signs})
+        self.signs.update(zip(signs, self._encoded(self.tokenizer, signs)))
+        odd = [c for c, p in zip(fresh, plain) if not p]
+        self.chunks.update(zip(odd, self._encoded(self.tokenizer, odd)))
+        known, run = self.words, self.signs
+        self.chunks.update([(c, known[words[w]] + run[g]) for c, w, g, p in zip(fresh, cores, ends, plain) if p])
+
+    @staticmethod
+    def _lower(text: str) -> str:
+        """In lower case where the tokenizer makes no difference: Latin-1 without the marks of special tokens."""
+        if "<|" in text:
+            return text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text.lower()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, END included."""
+        """Little-endian unsigned ids of ``width`` bytes of each text, END included."""
         if len(self.chunks) > MEMO:  # what is not met again soon is forgotten
             self.older, self.chunks = self.chunks, {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({c for chunks in split for c in chunks if c not in self.chunks})
-        self.chunks.update({c: self.older[c] for c in fresh if c in self.older})
-        fresh = [c for c in fresh if c not in self.older]
+        split = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
+        fresh = set(chain.from_iterable(split)).difference(self.chunks)
+        again = fresh & self.older.keys()
+        self.chunks.update({c: self.older[c] for c in again})
+        fresh = list(fresh - again)
         for i in range(0, len(fresh), 1 << 13):
             self._learn(fresh[i : i + (1 << 13)])
-        get, end = self.chunks.__getitem__, array("I", [END]).tobytes()
+        get, end = self.chunks.__getitem__, array(self.kind, [END]).tobytes()
         return [b"".join(map(get, chunks)) + end for chunks in split]
 
 
@@ -124,17 +142,13 @@ def _in_slices(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
         yield part
 
 
-def _narrow(raw: bytes, width: int) -> bytes:
-    return raw if width == 4 else np.frombuffer(raw, "<u4").astype("<u2").tobytes()
-
-
 def _trainer(path_of: Callable[[], str]):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(path_of())
         samples = []
         for batch in batches:
             for part in _in_slices(batch.column("text").to_pylist()):
-                samples += [_narrow(x, encoder.width)[: DICT_BYTES] for x in encoder.encode(part)]
+                samples += [x[:DICT_BYTES] for x in encoder.encode(part)]
         samples.sort()
         try:
             made = zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -183,8 +197,8 @@ def _writer(path_of: Callable[[], str], made: bytes):
             for texts in _in_slices(batch.column("text").to_pylist()):
                 for raw in encoder.encode(texts):
                     docs.append(ids[at])
-                    counts.append(len(raw) // 4)
-                    frames.append(packer.compress(_narrow(raw, encoder.width)))
+                    counts.append(len(raw) // encoder.width)
+                    frames.append(packer.compress(raw))
                     at, held = at + 1, held + len(frames[-1])
                     if len(docs) >= BLOCK_DOCS or held >= BLOCK_BYTES:
                         yield flush()
