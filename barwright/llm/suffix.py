@@ -160,26 +160,32 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 KINDS = "seed long, around binary, offsets array<int>, heads array<long>"
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """(seed, doc_id, pos) of retained suffixes whose seed stands under two ids."""
-    held = Staged(docs.mapInArrow(_retain, "doc_id long, pos int, seed long"), "suffixes").read()
-    twice = held.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("seed")
-    return held.join(Staged(twice, "suffix-seeds").read(), "seed", "left_semi")
+def suffixes(docs: DataFrame) -> tuple[DataFrame, tuple[Staged, ...]]:
+    """(seed, doc_id, pos) of retained suffixes whose seed stands under two ids, and the tables to drop after use."""
+    held = Staged(docs.mapInArrow(_retain, "doc_id long, pos int, seed long"), "suffixes")
+    twice = held.read().groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("seed")
+    seeds = Staged(twice, "suffix-seeds")
+    return held.read().join(seeds.read(), "seed", "left_semi"), (held, seeds)
 
 
 def repeats(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """A row for each retained suffix in a repeated passage: doc_id, pos, offsets (words left of the seed in each repeated stretch), heads (an earlier doc_id that has the stretch, or its own)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    wanted = suffixes(rows).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "seed")).alias("wanted"))
+    found, used = suffixes(rows)
+    wanted = found.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "seed")).alias("wanted"))
     around = Staged(rows.join(wanted, "doc_id").mapInArrow(_surround, "doc_id long, pos int, seed long, around binary"), "suffix-words").read()
-    shape = Staged(around.groupBy("seed", "around").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "suffix-kinds").read()
+    for table in used:
+        table.drop()
+    shapes = Staged(around.groupBy("seed", "around").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "suffix-kinds")
+    shape = shapes.read()
     many = shape.groupBy("seed").count().where(F.col("count") > heavy).select("seed")
     light = shape.join(many, "seed", "left_anti").repartition("seed").sortWithinPartitions("seed", "around")
     spread = shape.join(many, "seed", "left_semi").mapInArrow(_spread, "seed long, around binary, first long, last long, offset int, stretch long")
     shared = spread.groupBy("seed", "offset", "stretch").agg(F.min("first").alias("head"), F.max("last").alias("tail")).where("head != tail").drop("tail")
     dealt = spread.join(shared, ["seed", "offset", "stretch"]).groupBy("seed", "around").agg(F.collect_list("offset").alias("offsets"), F.collect_list("head").alias("heads"))
-    kinds = light.mapInArrow(_compare, KINDS).unionByName(shape.where("first != last").mapInArrow(_own, KINDS)).unionByName(dealt)
-    return around.join(Staged(kinds, "suffix-repeats").read(), ["seed", "around"]).select("doc_id", "pos", "offsets", "heads")
+    kinds = Staged(light.mapInArrow(_compare, KINDS).unionByName(shape.where("first != last").mapInArrow(_own, KINDS)).unionByName(dealt), "suffix-repeats")
+    shapes.drop()
+    return around.join(kinds.read(), ["seed", "around"]).select("doc_id", "pos", "offsets", "heads")
 
 
 def scan(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
