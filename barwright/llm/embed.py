@@ -26,7 +26,7 @@ from .blocks import Forest, deal, groups
 from .common import Staged
 from .components import connected_components
 
-LEAST, TREES, LEAF, SPILL, SAMPLE, SEED, BLOCK = 0.98, 6, 512, 0.03, 20_000, 7, 2048
+LEAST, TREES, LEAF, SPILL, SAMPLE, SEED, BLOCK = 0.98, 4, 512, 0.015, 20_000, 7, 2048
 #: Of the sample, whatever the vectors' length.
 SAMPLE_BYTES = 16 << 20
 
