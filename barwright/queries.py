@@ -257,10 +257,54 @@ r AS (SELECT key, i, 1 AS g, price AS h, price AS l, false AS done FROM n WHERE
     SELECT key, i, g, h, l, h - l >= 60 FROM (SELECT n.key, n.i, CASE WHEN r.done THEN r.g + 1 ELSE r.g END AS g, CASE WHEN r.done THEN n.price ELSE greatest(r.h, n.price) END AS h, CASE WHEN r.done THEN n.price ELSE least(r.l, n.price) END AS l FROM r JOIN n ON n.key = r.key AND n.i = r.i + 1)),
 a AS (SELECT n.*, g FROM n JOIN r USING (key, i)), o AS ({_summed('g', 'a')})""",
     )
-    _bars("kagi", lambda d: bars.kagi(d, TICKS, amount=40.0), None)
-    _bars("three_line_break", lambda d: bars.three_line_break(d, TICKS, 3), None)
-    ALL["renko"] = (lambda spark, d: bricks.renko(candles(spark, d), BARS).select("key", "brick", _shown("price"), "direction", "row"), None)
-    ALL["point_and_figure"] = (lambda spark, d: bricks.exploded(bricks.point_and_figure(candles(spark, d), BARS), BARS).select("key", "column", "type", "start_idx", "position", _shown("price")), None)
+    numbered = "n AS MATERIALIZED (SELECT key, ts, event_id, price, volume, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS i FROM ticks)"
+    _bars(
+        "kagi", lambda d: bars.kagi(d, TICKS, amount=40.0),
+        f"""{numbered},
+r AS (SELECT key, i, 0 AS g, price AS p0, price AS p1, 0 AS way FROM n WHERE i = 1 UNION ALL
+    SELECT key, i, g + turn, CASE WHEN turn = 1 THEN p1 ELSE p0 END, CASE WHEN turn = 1 OR way = 0 OR (p - p1) * way > 0 THEN p ELSE p1 END, CASE WHEN way = 0 THEN sign(p - p0)::INT WHEN turn = 1 THEN -way ELSE way END
+    FROM (SELECT n.key, n.i, r.g, r.p0, r.p1, r.way, n.price AS p, CASE WHEN r.way != 0 AND (r.p1 - n.price) * r.way >= 40 THEN 1 ELSE 0 END AS turn FROM r JOIN n ON n.key = r.key AND n.i = r.i + 1)),
+a AS (SELECT key, g, min(ts) AS ts, arg_min(p0, i) AS open, max(price) AS high, min(price) AS low, arg_max(p1, i) AS close, sum(volume) AS volume, arg_min(price, i) AS head, arg_max(way, i) AS way FROM r JOIN n USING (key, i) GROUP BY key, g),
+b AS (SELECT *, lead(head) OVER (PARTITION BY key ORDER BY g) AS turned FROM a),
+o AS (SELECT key, ts, open, greatest(high, open, turned) AS high, least(low, open, turned) AS low, close, volume FROM b WHERE way != 0)""",
+    )
+    _bars(
+        "three_line_break", lambda d: bars.three_line_break(d, TICKS, 3),
+        f"""{numbered},
+r AS (SELECT key, i, -1 AS g, price AS a, price AS b, [price] AS hi, [price] AS lo, 0 AS way FROM n WHERE i = 1 UNION ALL
+    SELECT key, i, CASE WHEN base IS NULL THEN g ELSE g + 1 END, coalesce(base, a), CASE WHEN base IS NULL THEN b ELSE p END,
+        CASE WHEN base IS NULL THEN hi WHEN way = 0 THEN [greatest(base, p)] ELSE list_append(hi, greatest(base, p))[-3:] END,
+        CASE WHEN base IS NULL THEN lo WHEN way = 0 THEN [least(base, p)] ELSE list_append(lo, least(base, p))[-3:] END,
+        CASE WHEN base IS NULL THEN way WHEN way = 0 THEN sign(p - base)::INT WHEN base = b AND (p - b) * way > 0 THEN way ELSE -way END
+    FROM (SELECT n.key, n.i, n.price AS p, r.g, r.a, r.b, r.hi, r.lo, r.way, CASE
+        WHEN r.way = 0 THEN CASE WHEN n.price != r.a THEN r.a END
+        WHEN r.way = 1 AND n.price > r.hi[-1] THEN r.b WHEN r.way = -1 AND n.price < r.lo[-1] THEN r.b
+        WHEN r.way = 1 AND n.price <= list_min(r.lo) AND n.price < r.lo[-1] THEN r.a
+        WHEN r.way = -1 AND n.price >= list_max(r.hi) AND n.price > r.hi[-1] THEN r.a END AS base FROM r JOIN n ON n.key = r.key AND n.i = r.i + 1)),
+o AS (SELECT key, min(ts) AS ts, arg_max(a, i) AS open, arg_max(hi[-1], i) AS high, arg_max(lo[-1], i) AS low, arg_max(b, i) AS close, sum(volume) AS volume FROM r JOIN n USING (key, i) GROUP BY key, greatest(g, 0) HAVING max(g) >= 0)""",
+    )
+    boxed = lambda share: f"""tr AS MATERIALIZED (SELECT key, ts, {RANGE} AS r FROM hb), {_ewm('ra', 'tr', 'r', 1 / 14)},
+x AS MATERIALIZED (SELECT key, median(y) * {share} AS box FROM ra GROUP BY key), c AS MATERIALIZED (SELECT key, high, low, close, box, row_number() OVER {W} AS i FROM hb JOIN x USING (key))"""
+    ALL["renko"] = (
+        lambda spark, d: bricks.renko(candles(spark, d), BARS).select("key", "brick", _shown("price"), F.col("direction").cast("long").alias("direction"), "row"),
+        f"""{TICKS_SQL}, {boxed('0.75::DOUBLE')},
+r AS (SELECT key, 0::BIGINT AS i, close AS was, close AS level, 0 AS side, 0::BIGINT AS n, box FROM c WHERE i = 1 UNION ALL
+    SELECT key, i, level, level + side * n * box, side, n, box FROM (SELECT *, CASE WHEN up >= 1 THEN 1 ELSE -1 END AS side, CASE WHEN up >= 1 THEN up ELSE greatest(down, 0) END AS n
+        FROM (SELECT c.key, c.i, c.box, r.level, trunc((c.high - r.level) / c.box)::BIGINT AS up, trunc((r.level - c.low) / c.box)::BIGINT AS down FROM r JOIN c ON c.key = r.key AND c.i = r.i + 1))),
+e AS (SELECT key, i, was, side, box, unnest(range(n)) AS j FROM r WHERE n > 0)
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY i, j) - 1 AS brick, round(was + side * box * (j + 1), {DIGITS}) + 0.0 AS price, side::BIGINT AS direction, i - 1 AS row FROM e""",
+    )
+    ALL["point_and_figure"] = (
+        lambda spark, d: bricks.exploded(bricks.point_and_figure(candles(spark, d), BARS), BARS).select("key", "column", "type", "start_idx", F.col("position").cast("long").alias("position"), _shown("price")),
+        f"""{TICKS_SQL}, {boxed('1::DOUBLE')},
+r AS (SELECT key, 0::BIGINT AS i, 0::DOUBLE AS was, round_even(close / box, 0) * box AS level, 0 AS way, 0::BIGINT AS n, -1::BIGINT AS col, 0::BIGINT AS first, box FROM c WHERE i = 1 UNION ALL
+    SELECT key, i, level, level + side * n * box, CASE WHEN n > 0 THEN side ELSE way END, n, CASE WHEN n > 0 AND side != way THEN col + 1 ELSE col END, CASE WHEN n > 0 AND side != way THEN i - 1 ELSE first END, box
+    FROM (SELECT *, CASE WHEN ahead > 0 THEN w ELSE -w END AS side, CASE WHEN ahead > 0 THEN ahead WHEN back >= 3 THEN back ELSE 0 END AS n
+        FROM (SELECT *, CASE WHEN w > 0 THEN up ELSE down END AS ahead, CASE WHEN w > 0 THEN down ELSE up END AS back
+            FROM (SELECT c.key, c.i, c.box, r.level, r.way, r.col, r.first, CASE WHEN r.way = 0 THEN 1 ELSE r.way END AS w, trunc((c.high - r.level) / c.box)::BIGINT AS up, trunc((r.level - c.low) / c.box)::BIGINT AS down FROM r JOIN c ON c.key = r.key AND c.i = r.i + 1)))),
+e AS (SELECT *, unnest(range(n)) AS j FROM r WHERE n > 0)
+SELECT key, col AS "column", CASE WHEN way > 0 THEN 'X' ELSE 'O' END AS type, first AS start_idx, row_number() OVER (PARTITION BY key, col ORDER BY i, j) - 1 AS position, round(was + way * box * (j + 1), {DIGITS}) + 0.0 AS price FROM e""",
+    )
 
 
 _register_bars()
