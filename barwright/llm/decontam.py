@@ -39,7 +39,7 @@ UNITS = frozenset("mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hour ho
 EDGES = "\"'`.,;:!?()[]{}<>*_~|…“”‘’«»¿¡"
 NUM, UNIT, NAME = "\0n", "\0u", "\0p"
 #: Id of what is no word; words whose forms a task remembers.
-GONE, MEMO = -2, 300_000
+GONE, MEMO = -2, 200_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: Training rows in expectation, at most (chosen by a hash); what learning reads is bounded by it.
 FIT_ROWS = 20_000
-LONGEST, FALLBACK, SMOOTH, MEMO = 32, 1e-8, 0.1, 200_000
+LONGEST, FALLBACK, SMOOTH, MEMO = 32, 1e-8, 0.1, 120_000
 UNKNOWN = "und"
 #: A text is rejected if it is ``und`` or no language is likelier than this.
 LEAST = 0.3
