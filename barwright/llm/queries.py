@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secrets.scan_sql(), "op7_mixing": mixing.scan_sql(), "op9_embeddings": embed.links_sql(), "op10_passages": suffix.scan_sql()}
+    return {"op1_secrets": secrets.scan_sql(), "op2_pii": pii.scan_sql(), "op7_mixing": mixing.scan_sql(), "op9_embeddings": embed.links_sql(), "op10_passages": suffix.scan_sql()}
