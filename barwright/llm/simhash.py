@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import near
 from .blocks import Forest, deal, groups
 from .common import Staged
 from .components import connected_components
@@ -142,9 +143,12 @@ def scan(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` with one of each component: that of the smallest doc_id. Rows without a doc_id stay."""
-    kept = components(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of each component of near copies (see ``near``): that of the smallest doc_id. Rows without a doc_id stay.
+
+    Two bits, the radius of ``scan``, hold few near copies beyond exact ones, so the stage goes by similarity itself.
+    """
+    kept = near.components(docs).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     again = Window.partitionBy("doc_id").orderBy("doc_id")
     once = named.withColumn("_barwright_again", F.row_number().over(again)).where("_barwright_again = 1").drop("_barwright_again")

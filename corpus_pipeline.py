@@ -14,7 +14,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each component of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
     return simhash.deduplicate(docs)
 
 

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barwright.llm import components, decontam, embed, langid, mixing, pii, queries, secrets, simhash, suffix, tokens, toxicity
+from barwright.llm import components, decontam, embed, langid, mixing, near, pii, queries, secrets, simhash, suffix, tokens, toxicity
 from oracle import connect, differences
 
 SF = "/root/testdata/sf0.01"
@@ -180,6 +180,33 @@ def test_simhash_stage_keeps_one_of_each(spark):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 4, 5, 6, 7]
 
 
+def plain_shingles(text, width=5):
+    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_near_copies_against_brute_force(spark, block):
+    rng = np.random.default_rng(12)
+    rows = []
+    for n in (1, 3, 5, 7, 12, 40, 200, 200, 600):
+        base = [f"w{x}" for x in rng.integers(0, 3000, n)]
+        for changes in (0, 0, 1, 1, 2, 3, 5, 8):
+            w = list(base)
+            for at in rng.integers(0, n, changes if n > 12 else min(changes, 1)):
+                w[at] = "New" + str(rng.integers(0, 1 << 30))
+            rows.append((len(rows), ("Shared words of a licence that many texts begin with " if n == 200 else "") + " ".join(w)))
+    rows += [(len(rows), None), (len(rows) + 1, " ")]
+    sets = {i: plain_shingles(t) for i, t in rows}
+    linked = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert any(sets[i] != sets[j] for i, j in linked)
+    docs = documents(spark, [(*r, None, None) for r in rows])
+    want = plain_components(list(sets), linked)
+    assert {r["doc_id"]: r["component_id"] for r in near.components(docs, block).collect()} == want
+    assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == {i for i in want if want[i] == i}
+    assert near.components(docs.where("doc_id < 0")).count() == 0
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(60, 24))
