@@ -4,8 +4,9 @@ Words become typed slots where they are numbers, units after a number, or names
 and stay as lower-case words elsewhere. Windows of five canonical words are hashed and joined with
 those of the benchmark in two channels: ``literal``, where names stay words, and ``template``, where
 they are slots. A document holds an item if 0.8 of the item's windows of a channel stand in it; in
-the template channel the slots must also be consistent (one value of the item always becomes one value
-of the document, for at least 0.8 of the slots), which tells a re-parameterised question from chance.
+the template channel they must also stand together in an occurrence whose slots are consistent (one value
+of the item always becomes one value of the document, for at least 0.8 of the slots), which tells a
+re-parameterised question from chance. Each of several occurrences in a document is looked at by itself.
 
 The benchmark is a stated query set. It is cut in blocks of bounded size and every block is joined
 with all documents by a hash table in the task, so neither side is shuffled and what is sent out does
@@ -40,6 +41,8 @@ EDGES = "\"'`.,;:!?()[]{}<>*_~|…“”‘’«»¿¡"
 NUM, UNIT, NAME = "\0n", "\0u", "\0p"
 #: Id of what is no word; words whose forms a task remembers.
 GONE, MEMO = -2, 200_000
+#: Matches of windows looked at together.
+PAIRS = 1 << 18
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,21 +165,64 @@ class Block:
         enough = share >= SHARE - 1e-9
         return {(int(p) // len(counts), int(p) % len(counts)): float(x) for p, x in zip(pairs[enough], share[enough])}
 
-    def consistent(self, n: int, text: str) -> float:
-        """Share of the name slots in matching windows whose value of the item has one value in the text."""
-        literal, template = canonical(text)
+    def occurrence(self, n: int, literal: list[str], template: list[str]) -> float:
+        """The best slot share of an occurrence of the item, -1 without one.
+
+        Matching windows are taken together by start minus place in the item: equal ones, those within half the
+        item's length (words put in or left out), and all of the text. An occurrence has SHARE of the item's windows.
+        """
+        own = self.items[n][2]
+        last = len(own) - WINDOW + 1
+        held = self.words.get
+        codes = _window_hashes(np.array([self.words[w] for w in own]))[0]
+        order = np.argsort(codes, kind="stable")
+        found, at = _window_hashes(np.fromiter((held(w, -1) for w in template), np.int64, len(template)))
+        low, high = np.searchsorted(codes, found, "left", sorter=order), np.searchsorted(codes, found, "right", sorter=order)
+        hit = high > low
+        low, times, at = low[hit], (high - low)[hit], at[hit]
+        most = max(1, PAIRS // last)
+        best, reach = -1.0, len(own) + len(own) // 2
+        for a in range(0, max(len(at), 1), most):
+            # a stretch of matches, and those after it that an occurrence can reach
+            b = int(np.searchsorted(at, at[min(a + most, len(at)) - 1] + reach, "right")) if len(at) else 0
+            several = times[a:b]
+            starts = np.repeat(at[a:b], several)
+            places = order[np.repeat(low[a:b] - np.cumsum(several) + several, several) + np.arange(several.sum())]
+            best = max(best, self._best(n, starts, places, literal))
+            if best >= 1.0:
+                break
+        return best
+
+    def _best(self, n: int, starts: np.ndarray, places: np.ndarray, literal: list[str]) -> float:
+        own = self.items[n][2]
+        need = SHARE * (len(own) - WINDOW + 1) - 1e-9
+        by = np.argsort(starts - places, kind="stable")
+        starts, places = starts[by], places[by]
+        shift = starts - places
+        offsets, first = np.unique(shift, return_index=True)
+        best, before = -1.0, first
+        for slack in (0, len(own) // 2):
+            ends = np.searchsorted(shift, offsets + slack, "right")
+            some = (ends - first >= need) & (ends > before)
+            before = ends
+            for a, b in zip(first[some].tolist(), ends[some].tolist()):
+                best = max(best, self._slots(n, starts[a:b], places[a:b], literal, need))
+                if best >= 1.0:
+                    return best
+        return max(best, self._slots(n, starts, places, literal, need))
+
+    def _slots(self, n: int, starts: np.ndarray, places: np.ndarray, literal: list[str], need: float) -> float:
+        """Share of the slots under these windows whose value of the item has one value in the text; -1 for too few windows."""
         _, values, own = self.items[n]
-        place: dict[tuple, list[int]] = {}
-        for i in range(len(own) - WINDOW + 1):
-            place.setdefault(tuple(own[i : i + WINDOW]), []).append(i)
+        if len(np.unique(places)) < need:
+            return -1.0
+        steps = np.arange(WINDOW)
+        pairs = np.stack(np.divmod(np.unique((places[:, None] + steps) * len(literal) + starts[:, None] + steps), len(literal)))
         seen: dict[str, dict[str, int]] = {}
-        for s in range(len(template) - WINDOW + 1):
-            at = place.get(tuple(template[s : s + WINDOW]), [])
-            if len(at) == 1:
-                for j in range(WINDOW):
-                    if own[at[0] + j] == NAME:
-                        told = seen.setdefault(values[at[0] + j], {})
-                        told[literal[s + j]] = told.get(literal[s + j], 0) + 1
+        for i, s in pairs.T.tolist():
+            if own[i] == NAME:
+                told = seen.setdefault(values[i], {})
+                told[literal[s]] = told.get(literal[s], 0) + 1
         total = sum(sum(x.values()) for x in seen.values())
         return sum(max(x.values()) for x in seen.values()) / total if total else 1.0
 
@@ -187,14 +233,17 @@ class Block:
 
     def search(self, texts: pa.Array) -> Iterator[tuple]:
         """(row, item_id, literal share, template share, slot share) for every text and item that it holds."""
+        read, words = -1, ([], [])
         for portion in portions(texts, self.coder.powers) if self.items else ():
             literal, template, ends = self.coder.ids(portion)
             exact, loose = self.held(0, literal, ends), self.held(1, template, ends)
             for text, n in sorted(exact.keys() | loose.keys()):
                 row = portion.first + text
-                slots = self.consistent(n, texts[row].as_py()) if (text, n) in loose else 0.0
+                if (text, n) in loose and row != read:
+                    read, words = row, canonical(texts[row].as_py())
+                slots = self.occurrence(n, *words) if (text, n) in loose else 0.0
                 if (text, n) in exact or (slots >= SHARE and self.plain_enough(n)):
-                    yield row, self.items[n][0], exact.get((text, n), 0.0), loose.get((text, n), 0.0), slots
+                    yield row, self.items[n][0], exact.get((text, n), 0.0), loose.get((text, n), 0.0), max(slots, 0.0)
 
 
 def _searcher(items: list[tuple]):

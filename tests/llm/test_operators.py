@@ -285,6 +285,23 @@ def test_decontamination(spark):
     assert decontam.scan(documents(spark, [(*r, None, None) for r in rows]), bench.where("item_id < 0")).count() == 0
 
 
+ITEM = "Alice bought 12 apples for 3 dollars each and gave Bob half of them before walking 5 km home to the village"
+
+
+def reported(spark, texts, items):
+    docs = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontam.scan(docs, bench).collect()}
+
+
+def test_decontamination_of_several_variants(spark):
+    made = [ITEM.replace("Alice", a).replace("Bob", b) for a, b in (("Carol", "Dave"), ("Erin", "Frank"), ("Gus", "Hal"))]
+    parted = made[0].replace("each and", "each one in the old market and")
+    between = " quite other words stand between the two of them and lead nowhere "
+    texts = [made[0], " ".join(made[:2]), between.join(made), parted + between + made[1], (between + "Carol and Dave ") * 9]
+    assert reported(spark, texts, [ITEM]) == {(0, 0), (1, 0), (2, 0), (3, 0)}
+
+
 def test_decontamination_against_brute_force(spark, whole):
     bench = pd.read_parquet(f"{SF}/benchmark.parquet")
     said = {(r["doc_id"], r["item_id"]) for r in queries.op3_decontamination(spark, SF).collect()}
