@@ -302,6 +302,18 @@ def test_decontamination_of_several_variants(spark):
     assert reported(spark, texts, [ITEM]) == {(0, 0), (1, 0), (2, 0), (3, 0)}
 
 
+def test_decontamination_of_items_full_of_slots(spark):
+    items = ["Ann has 5 red, Bob has 7 blue, Cal has 9 green. Who has 21?", "WHAT IS THE LARGEST CITY OF FRANCE BY THE RIVER SEINE", "Ann 5 Bob 7 Cal 9 Dan 11"]
+    texts = [
+        "so Eve has 6 red, Fay has 8 blue, Guy has 3 green. Who has 17?",
+        "WHAT IS THE LARGEST CITY OF EGYPT BY THE RIVER NILE",
+        "THESE TITLES ARE WRITTEN IN CAPITALS ALL OVER AND SAY NOTHING OF THE KIND",
+        "Eve 6 Fay 8 Guy 3 Hal 12 and Ida 4 Jim 2 Kay 1 Lou 7",
+        "Eve had 6 cats, Fay had 8 dogs, Guy had 3 birds. Who had 17?",
+    ]
+    assert reported(spark, texts, items) == {(0, 0), (1, 1)}
+
+
 def test_decontamination_against_brute_force(spark, whole):
     bench = pd.read_parquet(f"{SF}/benchmark.parquet")
     said = {(r["doc_id"], r["item_id"]) for r in queries.op3_decontamination(spark, SF).collect()}
