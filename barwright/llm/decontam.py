@@ -2,8 +2,8 @@
 
 Words become typed slots where they are numbers, units after a number, or names (capitalised words),
 and stay as lower-case words elsewhere. Windows of five canonical words are hashed and joined with
-those of the benchmark in two channels: ``literal``, where names stay words, and ``template``, where
-they are slots. A document holds an item if 0.8 of the item's windows of a channel stand in it; in
+those of the benchmark in two channels: ``literal``, where all words stay words, numbers too, and
+``template``, where they are slots. A document holds an item if 0.8 of the item's windows of a channel stand in it; in
 the template channel they must also stand together in an occurrence whose slots are consistent (one value
 of the item always becomes one value of the document, for at least 0.8 of the slots), which tells a
 re-parameterised question from chance. Each of several occurrences in a document is looked at by itself.
@@ -55,9 +55,9 @@ def _forms(raw: str) -> tuple[str, str]:
     bare = raw.strip(EDGES)
     if not bare:
         return "", ""
-    if (bare[0].isdigit() or bare[0] in "+-$€£") and NUMBER.fullmatch(bare):
-        return NUM, NUM
     low = bare.lower()
+    if (bare[0].isdigit() or bare[0] in "+-$€£") and NUMBER.fullmatch(bare):
+        return low, NUM
     return low, NAME if bare[0].isupper() else low
 
 
@@ -66,8 +66,8 @@ def canonical(text: str | None) -> tuple[list[str], list[str]]:
     forms = [f for f in map(_forms, ASCII_SPACE.split(text or "")) if f[0]]
     literal, template = [f[0] for f in forms], [f[1] for f in forms]
     for i in range(1, len(forms)):
-        if literal[i] in UNITS and literal[i - 1] == NUM:
-            literal[i] = template[i] = UNIT
+        if literal[i] in UNITS and template[i - 1] == NUM:
+            template[i] = UNIT
     return literal, template
 
 
@@ -83,7 +83,7 @@ class _Coder(dict):
         get, rows, at = self.words.get, [], len(self)
         for raw in words:
             literal, template = _forms(raw)
-            rows.append((get(literal, -1), get(template, -1), literal == NUM, literal in UNITS) if literal else (GONE, GONE, 0, 0))
+            rows.append((get(literal, -1), get(template, -1), template == NUM, literal in UNITS) if literal else (GONE, GONE, 0, 0))
         self.update(zip(hashes, range(at, at + len(hashes))))
         while len(self) > self.table.shape[1]:
             self.table = np.concatenate((self.table, np.empty_like(self.table)), axis=1)
@@ -106,7 +106,7 @@ class _Coder(dict):
         ends = np.cumsum(kept)[ends - 1]
         literal, template, number, unit = full[:, kept]
         after = np.flatnonzero(unit[1:] & number[:-1]) + 1
-        literal[after] = template[after] = self.words.get(UNIT, -1)
+        template[after] = self.words.get(UNIT, -1)
         return literal, template, ends
 
 
@@ -227,7 +227,7 @@ class Block:
             return -1.0
         seen: dict[str, dict[str, int]] = {}
         for i, s in pairs.T.tolist():
-            if own[i] == NAME:
+            if own[i] in (NUM, UNIT, NAME):
                 told = seen.setdefault(values[i], {})
                 told[literal[s]] = told.get(literal[s], 0) + 1
         total = sum(sum(x.values()) for x in seen.values())

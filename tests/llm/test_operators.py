@@ -314,6 +314,12 @@ def test_decontamination_of_items_full_of_slots(spark):
     assert reported(spark, texts, items) == {(0, 0), (1, 1)}
 
 
+def test_decontamination_compares_numbers(spark):
+    item = "Alice keeps 3 red and 3 blue and 3 green and 3 black balls in 3 boxes"
+    other = "Alice keeps 1 red and 2 blue and 4 green and 5 black balls in 6 boxes"
+    assert reported(spark, [item, item.replace("3", "8"), other], [item]) == {(0, 0), (1, 0)}
+
+
 def test_decontamination_against_brute_force(spark, whole):
     bench = pd.read_parquet(f"{SF}/benchmark.parquet")
     said = {(r["doc_id"], r["item_id"]) for r in queries.op3_decontamination(spark, SF).collect()}
