@@ -42,6 +42,24 @@ def mod97(m: Column) -> Column:
     return F.aggregate(F.split(moved, "(?!$)"), F.lit(0), step) == 1
 
 
+#: Characters of an account number by country (registry of ISO 13616), the first four included.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU HN LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _accounts() -> str:
+    """Account numbers of the length of their country, so that words after them stay out. Codes that are not in
+    the registry may have 15 to 34 characters, up to where a number of a known country begins."""
+    known = "|".join(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+    known = rf"(?:{known})(?![A-Za-z0-9_])"
+    others = rf"(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{known}))?[A-Z0-9]){{11,30}}(?![A-Za-z0-9_])"
+    return rf"(?<![A-Za-z0-9_])(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|{others})"
+
+
 def _count_between(low: int, high: int):
     return lambda m: F.length(_digits(m)).between(low, high)
 
@@ -52,7 +70,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", needs=".", valid=lambda m: m.rlike(BYTES), context=(r"\bip\b|addr|host|server|login", 40)),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", valid=lambda m: _count_between(13, 19)(m) & luhn(_digits(m)), context=(r"card|visa|credit|debit|pay|amex", 40)),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", needs="+", valid=_count_between(9, 15), context=(r"phone|tel|call|mobile|fax|dial", 40)),
-    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])", valid=mod97, context=(r"iban|account|bank|konto|compte|cuenta", 40)),
+    Kind("iban", _accounts(), valid=mod97, context=(r"iban|account|bank|konto|compte|cuenta", 40)),
 )
 #: The same proposals for an engine of linear time that knows no possessive repeats.
 PLAIN = (

@@ -122,6 +122,16 @@ def test_pii_checksums_and_context(spark):
     assert pii.redact(documents(spark, [(1, "to a@b.co now", None, None)])).first()["text"] == "to <email> now"
 
 
+def test_pii_accounts_before_words(spark):
+    de, gb, fr = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606"
+    texts = [(f"{de} BIC COBADEFFXXX", [de]), ("to DE89370400440532013000 EUR 50", ["DE89370400440532013000"]), (f"{fr} {de} {gb} A 1", [fr, de, gb]), (f"XX12 {de} X", [de])]
+    texts += [("DE89370400440532013000X", []), ("DE89 3704 0044 0532 0130 01 BIC", []), ("DE89 3704 0044 0532 0130 00_", []), ("NO93 8601 1117 947 NOK 7", ["NO93 8601 1117 947"])]
+    said = {r["doc_id"]: r["spans"] for r in pii.scan(documents(spark, [(i, t, None, None) for i, (t, _) in enumerate(texts)])).collect()}
+    for i, (text, want) in enumerate(texts):
+        spans = [s.split(":") for s in said[i].split(",") if s.startswith("iban")]
+        assert [text[int(a) : int(b)] for _, a, b in spans] == want
+
+
 # -- near-duplicates
 
 
