@@ -106,7 +106,7 @@ class Model:
 def fit(docs: DataFrame, path_of: Callable[[], str] = default_path, rows: int = FIT_ROWS) -> Model:
     """Learn from rows that are not held out and have a text and a language."""
     known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, rows / max(docs.count(), 1))
+    share = min(1.0, rows / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     counts = chosen.select("lang", "text").mapInArrow(_counter(path_of), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())

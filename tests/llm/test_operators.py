@@ -378,6 +378,12 @@ def test_language_accuracy(spark, whole):
     assert (said["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in said["doc_id"]]).all()
 
 
+def test_language_learns_from_few_labelled_rows(spark):
+    labelled = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:40]
+    rows = [(i, f"text number {i}", f"l{i}" if i in labelled else None, None) for i in range(2000)]
+    assert langid.fit(documents(spark, rows), rows=50).langs == sorted(f"l{i}" for i in labelled)
+
+
 def test_language_on_awkward_input(spark):
     docs = documents(spark, AWKWARD)
     said = {(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.scan(docs).collect() if r["doc_id"] in (1, 2, 3, 7)}
