@@ -86,7 +86,7 @@ def _prefixes(common: np.ndarray):
                 starts.append(starts[-1] + len(ends[-1]))
             flat = np.concatenate(ends) if ends else np.empty(0, "u8")
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat.view("i8")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), lists], ["doc_id", "key", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), lists], ["doc_id", "print", "key", "n", "prefix"])
 
     return cut
 
@@ -176,10 +176,11 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, key (of the shingle set), component_id (smallest doc_id that near copies reach) for the rows with a doc_id."""
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    """doc_id, print (hash of the text), component (a key that its sets share), component_id (smallest doc_id that
+    near copies reach) for the rows with a doc_id. Where ids are repeated, two components may have one component_id."""
+    docs = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("print"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = Staged(docs.mapInArrow(_prefixes(common_shingles(docs)), f"doc_id {kind}, key long, n int, prefix array<long>"), "near-prefix")
+    cut = Staged(docs.mapInArrow(_prefixes(common_shingles(docs)), f"doc_id {kind}, print long, key long, n int, prefix array<long>"), "near-prefix")
     sets = Staged(cut.read().groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "near-sets")
     tokens = sets.read().select("key", "n", F.posexplode("prefix").alias("pos", "token"))
     pairs = Staged(deal(tokens, "token", "key", block).mapInArrow(_candidates, "a long, b long").distinct(), "near-pairs")
@@ -192,8 +193,8 @@ def components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     found = connected_components(pairs.read().join(x, "a").join(y, "b").mapInArrow(_confirm, "a long, b long"))
     placed = sets.read().select("key", "first").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_key = Staged(placed.join(least, "component").select("key", "component_id"), "near-component").read()
-    keys = Staged(cut.read().select("doc_id", "key"), "near-keys").read()
+    by_key = Staged(placed.join(least, "component").select("key", "component", "component_id"), "near-component").read()
+    keys = Staged(cut.read().select("doc_id", "print", "key"), "near-keys").read()
     for done in (cut, sets, pairs, whole):
         done.drop()
-    return keys.join(by_key, "key").select("doc_id", "key", "component_id")
+    return keys.join(by_key, "key").select("doc_id", "print", "component", "component_id")

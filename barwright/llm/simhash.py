@@ -148,8 +148,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Two bits, the radius of ``scan``, hold few near copies beyond exact ones, so the stage goes by similarity itself.
     """
-    kept = near.components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    again = Window.partitionBy("doc_id").orderBy("doc_id")
-    once = named.withColumn("_barwright_again", F.row_number().over(again)).where("_barwright_again = 1").drop("_barwright_again")
-    return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    best = near.components(docs).groupBy("component").agg(F.min(F.struct("doc_id", "print")).alias("best"))
+    kept = best.select("best.doc_id", F.col("best.print").alias("_barwright_print"))
+    named = docs.where("doc_id is not null").withColumn("_barwright_print", F.xxhash64("text"))
+    again = Window.partitionBy("doc_id", "_barwright_print").orderBy(F.xxhash64(*docs.columns))
+    chosen = named.join(kept, ["doc_id", "_barwright_print"], "left_semi").withColumn("_barwright_again", F.row_number().over(again))
+    return chosen.where("_barwright_again = 1").select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -217,6 +217,12 @@ def test_near_copies_against_brute_force(spark, block):
     assert near.components(docs.where("doc_id < 0")).count() == 0
 
 
+def test_stage_keeps_distinct_texts_of_one_id(spark):
+    rows = [(1, "one text about rivers and lakes"), (1, "quite another text about hills"), (1, "a copy of the third text here"), (0, "a copy of the third text here"), (2, "quite another text about hills")]
+    for docs in (documents(spark, [(*r, None, None) for r in order]) for order in (rows, rows[::-1])):
+        assert sorted((r["doc_id"], r["text"]) for r in simhash.deduplicate(docs).collect()) == sorted([rows[3], rows[0], rows[1]])
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(60, 24))
