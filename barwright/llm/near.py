@@ -28,7 +28,7 @@ from .words import Powers, mix, portions
 #: Similarity as a fraction.
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Documents that tell common shingles, shingles remembered as common, sets in a block.
-SAMPLE, COMMON, BLOCK = 20_000, 100_000, 2048
+SAMPLE, COMMON, BLOCK = 8_000, 100_000, 2048
 TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,9 +99,9 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_shingles(docs: DataFrame, sample: int = SAMPLE, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that two texts or more of a bounded sample have, sorted, and in how many. They set the order only."""
+    """Shingles that two rows or more of a bounded sample have, sorted, and in how many. They set the order only."""
     share = int(min(1.0, sample / max(docs.count(), 1)) * (1 << 30))
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit("near"), "doc_id"), F.lit(1 << 30)) < share).select("text").distinct()
+    chosen = docs.where(F.pmod(F.xxhash64(F.lit("near"), "doc_id"), F.lit(1 << 30)) < share).select("text")
     counts = chosen.mapInArrow(_shingles, "shingle long").groupBy("shingle").count().where("count > 1")
     top = counts.orderBy(F.desc("count"), "shingle").limit(most).toPandas()
     known, rank = top["shingle"].to_numpy().astype("i8").view("u8"), top["count"].to_numpy().astype("u8")
@@ -109,9 +109,10 @@ def common_shingles(docs: DataFrame, sample: int = SAMPLE, most: int = COMMON) -
     return known[order], rank[order]
 
 
-def _complete(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
-    """Sorted batches cut anew so that no group is parted."""
+def _complete(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], most: int | None = None) -> Iterator[dict[str, np.ndarray]]:
+    """Sorted batches cut anew so that no group is parted, except groups over ``most``, whose rows are marked ``heavy``."""
     held: dict[str, np.ndarray] | None = None
+    over = None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -122,40 +123,76 @@ def _complete(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterato
         for name in by:
             last &= now[name] == now[name][-1]
         cut = int(np.argmax(last))
+        end = now[by[0]][-1]
+        if most and (len(last) - cut > most or (over is not None and over == end)):
+            cut, ending = len(last), end
+        else:
+            ending = None
         if cut:
-            yield {name: values[:cut] for name, values in now.items()}
-        held = {name: values[cut:] for name, values in now.items()}
+            heavy = np.zeros(cut, bool)
+            for name in (over, ending):
+                if name is not None:
+                    heavy |= now[by[0]][:cut] == name
+            yield {name: values[:cut] for name, values in now.items()} | {"heavy": heavy}
+        over = ending if ending is not None else (over if over is not None and cut == 0 else None)
+        held = {name: values[cut:] for name, values in now.items()} if cut < len(last) else None
     if held is not None:
-        yield held
+        yield held | {"heavy": np.full(len(held[by[0]]), over is not None and held[by[0]][0] == over)}
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(rows: dict[str, np.ndarray], left_over: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Pairs under a shingle whose sizes and places in the order leave room for enough in common."""
+    at, shift = np.flatnonzero(left_over > 1), 1
+    while at.size:
+        a, b = at, at + shift
+        # pairs within one block meet where lo = hi only
+        fine = (rows["own"][a] != rows["own"][b]) | (rows["lo"][a] == rows["hi"][a]) if "own" in rows else np.ones(len(a), bool)
+        n, m, p, q = rows["size_at"][a] >> 32, rows["size_at"][b] >> 32, rows["size_at"][a] & 0xFFFFFFFF, rows["size_at"][b] & 0xFFFFFFFF
+        fine &= np.minimum(n, m) * DENOMINATOR >= np.maximum(n, m) * NUMERATOR
+        room = np.minimum(p, q) + np.minimum(n - p, m - q)
+        fine &= room * (NUMERATOR + DENOMINATOR) >= (n + m) * NUMERATOR
+        fine &= rows["key"][a] != rows["key"][b]
+        if fine.any():
+            x, y = rows["key"][a[fine]], rows["key"][b[fine]]
+            pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        shift += 1
+        at = at[left_over[at] > shift]
+
+
+def _groups(rows: dict[str, np.ndarray], by: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the size of its group, and how many of the group stand from it on."""
+    change = np.zeros(len(rows["key"]), bool)
+    change[0] = True
+    for name in by:
+        change[1:] |= rows[name][1:] != rows[name][:-1]
+    starts = np.flatnonzero(change)
+    size = np.diff(np.append(starts, len(change)))
+    return np.repeat(size, size), np.repeat(starts + size, size) - np.arange(len(change))
+
+
+def _meet(block: int):
+    """Candidates of small groups as (a, b); rows of groups over ``block`` as (key, null, token, size_at), to be dealt out."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "token", "size_at"]
+        for rows in _complete(batches, ("token",), block):
+            size, left_over = _groups(rows, ("token",))
+            heavy = (size > block) | rows["heavy"]
+            for found in _pairs(rows, np.where(heavy, 0, left_over)):
+                none = pa.nulls(found.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*found.columns, none, none], names)
+            if heavy.any():
+                key, token, size_at = (pa.array(rows[name][heavy]) for name in ("key", "token", "size_at"))
+                yield pa.RecordBatch.from_arrays([key, pa.nulls(len(key), pa.int64()), token, size_at], names)
+
+    return meet
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by = ("token", "lo", "hi")
     for rows in _complete(batches, by):
-        change = np.ones(len(rows["key"]), bool)
-        for name in by:
-            change[1:] = change[1:] & (rows[name][1:] == rows[name][:-1])
-        change[0] = False
-        starts = np.flatnonzero(~change)
-        size = np.diff(np.append(starts, len(change)))
-        left_over = np.repeat(starts + size, size) - np.arange(len(change))  # rows from this one to its group's end
-        at, shift = np.flatnonzero(left_over > 1), 1
-        while at.size:
-            a, b = at, at + shift
-            # pairs within one block meet where lo = hi only
-            fine = (rows["own"][a] != rows["own"][b]) | (rows["lo"][a] == rows["hi"][a])
-            n, m = rows["n"][a].astype("i8"), rows["n"][b].astype("i8")
-            fine &= np.minimum(n, m) * DENOMINATOR >= np.maximum(n, m) * NUMERATOR
-            room = 1 + np.minimum(rows["pos"][a], rows["pos"][b]) + np.minimum(n - rows["pos"][a], m - rows["pos"][b]) - 1
-            fine &= room * (NUMERATOR + DENOMINATOR) >= (n + m) * NUMERATOR
-            fine &= rows["key"][a] != rows["key"][b]
-            if fine.any():
-                x, y = rows["key"][a[fine]], rows["key"][b[fine]]
-                pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-            shift += 1
-            at = at[left_over[at] > shift]
+        yield from _pairs(rows, _groups(rows, by)[1])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,20 +218,28 @@ def components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     docs = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("print"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     cut = Staged(docs.mapInArrow(_prefixes(common_shingles(docs)), f"doc_id {kind}, print long, key long, n int, prefix array<long>"), "near-prefix")
-    sets = Staged(cut.read().groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "near-sets")
-    tokens = sets.read().select("key", "n", F.posexplode("prefix").alias("pos", "token"))
-    pairs = Staged(deal(tokens, "token", "key", block).mapInArrow(_candidates, "a long, b long").distinct(), "near-pairs")
+    keys = Staged(cut.read().select("doc_id", "print", "key"), "near-keys")
+    firsts = Staged(keys.read().groupBy("key").agg(F.min("doc_id").alias("first")), "near-first")
+    sets = cut.read().dropDuplicates(["key"]).select("key", "n", F.posexplode("prefix").alias("pos", "token"))
+    size_at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    tokens = sets.select("token", "key", size_at.alias("size_at")).repartition("token").sortWithinPartitions("token")
+    met = Staged(tokens.mapInArrow(_meet(block), "a long, b long, token long, size_at long"), "near-met")
+    cut.drop()
+    heavy = met.read().where("b is null").select("token", F.col("a").alias("key"), "size_at")
+    dealt = deal(heavy, "token", "key", block).mapInArrow(_dealt, "a long, b long")
+    pairs = Staged(met.read().where("b is not null").select("a", "b").unionByName(dealt).distinct(), "near-pairs")
+    met.drop()
     asked = pairs.read().select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    ids = sets.read().join(asked, "key").select(F.col("first").alias("doc_id")).distinct()
+    ids = firsts.read().join(asked, "key").select(F.col("first").alias("doc_id")).distinct()
     # repeated ids may bring other texts along
     whole = docs.join(ids, "doc_id", "left_semi").mapInArrow(_whole, "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes"))
     whole = Staged(whole, "near-whole")
     x, y = (whole.read().select(F.col("key").alias(end), F.col("hashes").alias(name)) for end, name in (("a", "x"), ("b", "y")))
     found = connected_components(pairs.read().join(x, "a").join(y, "b").mapInArrow(_confirm, "a long, b long"))
-    placed = sets.read().select("key", "first").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    pairs.drop()
+    whole.drop()
+    placed = firsts.read().join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     by_key = Staged(placed.join(least, "component").select("key", "component", "component_id"), "near-component").read()
-    keys = Staged(cut.read().select("doc_id", "print", "key"), "near-keys").read()
-    for done in (cut, sets, pairs, whole):
-        done.drop()
-    return keys.join(by_key, "key").select("doc_id", "print", "component", "component_id")
+    firsts.drop()
+    return keys.read().join(by_key, "key").select("doc_id", "print", "component", "component_id")
