@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,23 +14,50 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) is a folder made here.
+    Where the setting is absent a folder is made here, on one machine only; on a cluster it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="barwright-"))
     return context.getCheckpointDir().rstrip("/")
 
 
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path in the session's own folder, which ``clear`` or the driver's end empties."""
+    atexit.register(clear, spark)
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/barwright/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this session has staged. Results still to be read from them are lost."""
+    atexit.unregister(clear)
+    if spark.sparkContext._jsc is not None:
+        try:
+            _delete(spark, _own(spark))
+        except (Py4JError, OSError):  # the session ended before the driver did
+            pass
+
+
 class Staged:
     """A table written to the shared folder, which cuts lineage and survives lost executors."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/barwright/{name}-{uuid.uuid4().hex}"
+        self.path = staged_path(self.spark, name)
         df.write.parquet(self.path)
         self.schema = df.schema
 
@@ -36,9 +65,7 @@ class Staged:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

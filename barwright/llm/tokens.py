@@ -4,8 +4,8 @@ The dictionary is trained on the ids of a bounded sample of documents (``SAMPLE`
 expectation, chosen by a hash; it changes the size of the files, never their content). Documents are
 range-partitioned by doc_id before they are encoded, so only texts are shuffled, once. A file is a
 Parquet table of blocks: a row holds the frames of some hundred documents end to end, their ids,
-token counts and byte offsets, the dictionary's hash, and the tokens before the block in its part.
-One document is found by the blocks' doc_id ranges and read by slicing its frame (``read_one``).
+token counts and byte offsets, the dictionary's hash, and the tokens before the block in its part. The
+dictionary is a table beside it, so a file is opened by its path alone (``TokenFile``). One document is found by the blocks' doc_id ranges and read by slicing its frame (``read_one``).
 
 Ids are stored as unsigned 16-bit integers, or 32-bit where the vocabulary needs it. Null text counts
 as empty (the end id alone); null doc_ids come first; repeated doc_ids follow the order of their texts'
@@ -17,23 +17,26 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Staged, text_or_empty
+from .common import staged_path, text_or_empty
+from .words import Powers, spans, stretch_hashes
 
 END, SAMPLE, DICT_BYTES, BLOCK_DOCS, BLOCK_BYTES = 1, 2000, 65536, 256, 1 << 20
 BLOCKS = "part int, block long, dict_hash string, first_doc long, last_doc long, docs array<long>, tokens array<int>, offsets array<long>, start long, total long, width int, data binary"
-MEMO = 300_000
+#: Parts of words that a process remembers.
+MEMO = 1_000_000
 
 
 def default_path() -> str:
@@ -42,23 +45,30 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Signs that a chunk may end in; to the tokenizer they are a run apart from the word before them.
-SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-def _byte_letters() -> dict[int, str]:
-    """How byte-level vocabularies write each byte as a printable character."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+#: What the short way is held against the tokenizer on before it is taken, apart and as one text.
+PROBE = (
+    "The THE the Don't don't it's IT'S 'tis we'll we'LL they've y'all's o'clock' 's 'S ''s x's's",
+    "a1b22c 3.14 (foo) [bar]. \"quoted.\" foo.'s end... wait--what?! a_b c/d e@f.g #h $5 50% \\ ^ ~`",
+    "tab\tline\nfeed\rcarriage\x0bvertical\x0cform \x00 \x07 \x1f \u00a0 \u2003 \u3000 space",
+    "Über ÜBER ﬁne naïve ciónñas. çà, élève; straße STRASSE œuvre ÿ× ÷ø µ ª º ¼ İstanbul ΣΊΣΥΦΟΣ Σ ΑΣ ΑΣ. ſ K Å",
+    "e\u0301 cafe\u0301. a\u0300\u0316b \u0301x n\u0303, i\u0307 \u1e9b\u0323 한국어 \u1112\u1161\u11ab 日本語。 中文，标点 ไทย हिन्दी العربية",
+    "\U0001f600 \U0001f468\u200d\U0001f469 “hello”. ‘so’, «oui» … – — €5 £3 ½ ² ① ٣ Ⅷ",
+    "<|endoftext|> <|ENDOFTEXT|> x<|startoftext|>y <|end oftext|> <| |>",
+    "",
+    " \t\n ",
+)
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+LETTER, HIGH = np.zeros(256, bool), np.arange(256) >= 128
+LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 class Encoder:
     """Ids of whole texts.
 
-    The tokenizer never joins across a space or a line feed, so what stands between them (a chunk) is encoded once
-    and remembered. A chunk of letters and signs is put together from its word and its signs, and words go straight
-    to the vocabulary's model. Both memories are bounded.
+    The tokenizer never joins across white space, nor the letters that a word begins with and a sign or digit after them.
+    So such parts of words are found and hashed as in ``words``, and each is encoded once and remembered (the ``MEMO``
+    parts met last). That holds for the vocabulary in use, not for any: it is tried on ``PROBE`` first, and a tokenizer
+    that gives other ids encodes whole texts by itself.
     """
 
     def __init__(self, path: str):
@@ -66,13 +76,15 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one thread
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.tokenizer.model)
-        self.width, self.kind = (2, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")
-        self.letters = str.maketrans(_byte_letters())
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {"": b""}
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
+        self.closing = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.powers = Powers()
+        self._forget(np.empty(0, np.int64), empty=True)
+        self.tick, self.parted = 0, True
+        texts = [*PROBE, " ".join(PROBE), "\n".join(PROBE)]
+        plain = [e + [END] for e in self._encoded(texts)]
+        self.parted = [x.tolist() for x in self.encode(pa.array(texts, pa.string()))] == plain
 
     @staticmethod
     @functools.lru_cache(maxsize=1)
@@ -80,66 +92,99 @@ class Encoder:
         """The process's encoder; what it remembers serves the next task."""
         return Encoder(path)
 
-    def _encoded(self, encoder, texts: list[str]) -> list[bytes]:
-        return [array(self.kind, e.ids).tobytes() for e in encoder.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, fresh: list[str]) -> None:
-        if len(self.words) > MEMO:
-            self.words.clear()
-        if len(self.signs) > MEMO // 8:
-            self.signs = {"": b""}
-        # letters of Latin-1: their lower case and bytes need no normalising
-        cores = [c.rstrip(SIGNS) for c in fresh]
-        plain = [w.isalpha() and (w.isascii() or max(w) < "Ā") for w in cores]
-        words = {w: w.lower() for w, p in zip(cores, plain) if p}
-        new = list({w for w in words.values() if w not in self.words})
-        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in new]
-        self.words.update(zip(new, self._encoded(self.model, shown)))
-        ends = [c[len(w) :] for c, w in zip(fresh, cores)]
-        signs = list({g for g, p in zip(ends, plain) if p and g not in self.signs})
-        self.signs.update(zip(signs, self._encoded(self.tokenizer, signs)))
-        odd = [c for c, p in zip(fresh, plain) if not p]
-        self.chunks.update(zip(odd, self._encoded(self.tokenizer, odd)))
-        known, run = self.words, self.signs
-        self.chunks.update([(c, known[words[w]] + run[g]) for c, w, g, p in zip(fresh, cores, ends, plain) if p])
-
-    @staticmethod
-    def _lower(text: str) -> str:
-        """In lower case where the tokenizer makes no difference: Latin-1 without the marks of special tokens."""
-        if "<|" in text:
-            return text
-        if not text.isascii():
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                return text
-        return text.lower()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned ids of ``width`` bytes of each text, END included."""
-        if len(self.chunks) > MEMO:  # what is not met again soon is forgotten
-            self.older, self.chunks = self.chunks, {"": b""}
-        split = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
-        fresh = set(chain.from_iterable(split)).difference(self.chunks)
-        again = fresh & self.older.keys()
-        self.chunks.update({c: self.older[c] for c in again})
-        fresh = list(fresh - again)
-        for i in range(0, len(fresh), 1 << 13):
-            self._learn(fresh[i : i + (1 << 13)])
-        get, end = self.chunks.__getitem__, array(self.kind, [END]).tobytes()
-        return [b"".join(map(get, chunks)) + end for chunks in split]
-
-
-def _in_slices(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
-    part, held = [], 0
-    for t in texts:
-        part.append(t)
-        held += len(t)
-        if held >= chars:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _forget(self, kept: np.ndarray, empty: bool = False) -> None:
+        """Known parts: sorted hashes, and of each the place and number of its ids and when it was last met."""
+        if empty:
+            self.known, self.ids = np.empty(0, "u8"), np.empty(0, "<u4")
+            self.start, self.count, self.met = (np.empty(0, np.int64) for _ in range(3))
+            return
+        count = self.count[kept]
+        self.ids = self.ids[_ranges(self.start[kept], count)]
+        self.known, self.count, self.met, self.start = self.known[kept], count, self.met[kept], np.cumsum(count) - count
+
+    def _learn(self, hashes: np.ndarray, parts: list[str]) -> None:
+        """Words of Latin letters are encoded end to end: each closes with an id that only ends of words have."""
+        latin = np.fromiter(map(bool, map(LATIN.fullmatch, parts)), bool, len(parts))
+        order, made, count = [], [self.ids], []
+        rest = np.flatnonzero(~latin).tolist()
+        at = np.flatnonzero(latin)
+        for i in range(0, len(at), 2000):
+            some = at[i : i + 2000].tolist()
+            ids = np.array(self._encoded([" ".join([parts[n] for n in some])])[0], "<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != len(some):
+                rest += some
+                continue
+            order += some
+            made.append(ids)
+            count.append(np.diff(ends, prepend=0))
+        single = self._encoded([parts[n] for n in rest])
+        order += rest
+        made.append(np.fromiter(chain.from_iterable(single), "<u4"))
+        count = np.concatenate([*count, np.fromiter(map(len, single), np.int64, len(single))])
+        start = len(self.ids) + np.cumsum(count) - count
+        back = np.argsort(np.array(order, np.int64))
+        self.ids = np.concatenate(made)
+        place = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, place, hashes)
+        self.start, self.count = np.insert(self.start, place, start[back]), np.insert(self.count, place, count[back])
+        self.met = np.insert(self.met, place, self.tick)
+
+    def _parts(self, data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words are parted after the letters they begin with if an ASCII sign or digit follows."""
+        letter = LETTER[data]
+        run = letter | HIGH[data]
+        # two bytes of a Latin-1 letter end a run of letters as well
+        before = letter.copy()
+        before[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        stops = np.append(np.flatnonzero(~run), len(data))
+        stop = stops[np.searchsorted(stops, starts)]
+        cut = (stop > starts) & (stop < ends)
+        cut[cut] = before[stop[cut] - 1]
+        return np.sort(np.concatenate((starts, stop[cut]))), np.sort(np.concatenate((ends, stop[cut])))
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, END included. Null is empty."""
+        if not self.parted:
+            for some in texts:
+                yield np.array(self._encoded([some.as_py() or ""])[0] + [END], "<u4")
+            return
+        for _, data, bounds, starts, ends in spans(texts, _lower):
+            starts, ends = self._parts(data, bounds, starts, ends)
+            hashes, first, inverse = np.unique(stretch_hashes(data, starts, ends, self.powers), return_index=True, return_inverse=True)
+            self.tick += 1
+            at = np.searchsorted(self.known, hashes)
+            new = at == len(self.known)
+            new[~new] = self.known[at[~new]] != hashes[~new]
+            if new.any():
+                raw = data.tobytes()
+                self._learn(hashes[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+                at = np.searchsorted(self.known, hashes)
+            self.met[at] = self.tick
+            at = at[inverse]
+            count = self.count[at]
+            ids = self.ids[_ranges(self.start[at], count)]
+            sums = np.append(0, np.cumsum(count))
+            stops = sums[np.searchsorted(starts, bounds)]
+            ids, stops = np.insert(ids, stops[1:], END), stops + np.arange(len(stops))
+            for a, b in zip(stops[:-1].tolist(), stops[1:].tolist()):
+                yield ids[a:b]
+            if len(self.known) > MEMO:
+                self._forget(np.flatnonzero(self.met > np.median(self.met)))
+
+
+def _lower(texts: pa.Array) -> pa.Array:
+    """Special tokens are told by their case; the tokenizer lowers all else."""
+    return pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, count of them, end to end."""
+    before = np.cumsum(count) - count
+    return np.repeat(start - before, count) + np.arange(count.sum())
 
 
 def _trainer(path_of: Callable[[], str]):
@@ -147,8 +192,9 @@ def _trainer(path_of: Callable[[], str]):
         encoder = Encoder.at(path_of())
         samples = []
         for batch in batches:
-            for part in _in_slices(batch.column("text").to_pylist()):
-                samples += [x[:DICT_BYTES] for x in encoder.encode(part)]
+            for ids in encoder.encode(batch.column("text")):
+                raw = ids.astype(f"<u{encoder.width}").tobytes()
+                samples += [raw[i : i + DICT_BYTES] for i in range(0, len(raw), DICT_BYTES)]
         samples.sort()
         try:
             made = zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -193,16 +239,15 @@ def _writer(path_of: Callable[[], str], made: bytes):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
-            ids, at, held = batch.column("doc_id").to_pylist(), 0, 0
-            for texts in _in_slices(batch.column("text").to_pylist()):
-                for raw in encoder.encode(texts):
-                    docs.append(ids[at])
-                    counts.append(len(raw) // encoder.width)
-                    frames.append(packer.compress(raw))
-                    at, held = at + 1, held + len(frames[-1])
-                    if len(docs) >= BLOCK_DOCS or held >= BLOCK_BYTES:
-                        yield flush()
-                        held = 0
+            held, kind = 0, f"<u{encoder.width}"
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
+                docs.append(doc)
+                counts.append(len(ids))
+                frames.append(packer.compress(ids.astype(kind).tobytes()))
+                held += len(frames[-1])
+                if len(docs) >= BLOCK_DOCS or held >= BLOCK_BYTES:
+                    yield flush()
+                    held = 0
         if docs:
             yield flush()
 
@@ -210,14 +255,19 @@ def _writer(path_of: Callable[[], str], made: bytes):
 
 
 class TokenFile:
-    """The blocks of a token-id file and its dictionary."""
+    """A folder of two Parquet tables: ``blocks`` and ``dictionary`` (name, made). Nothing else is needed to read it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        found = spark.read.parquet(f"{path}/dictionary").first()
+        self.name, self.made = found["name"], bytes(found["made"])
 
-    def __init__(self, spark: SparkSession, blocks: Staged, made: bytes):
-        self.spark, self.blocks, self.made = spark, blocks, made
+    def blocks(self) -> DataFrame:
+        return self.spark.read.schema(BLOCKS).parquet(f"{self.path}/blocks")
 
     def read(self) -> DataFrame:
         """doc_id, start, n_tokens, ids_crc32 from the file, by decompressing every frame."""
-        held = self.blocks.read()
+        held = self.blocks()
         # one row per part of the file: as many as the shuffle had partitions
         parts = held.groupBy("part").agg(F.sum("total").alias("total")).withColumn("before", F.sum("total").over(Window.orderBy("part")) - F.col("total")).select("part", "before").collect()
         return held.mapInArrow(_reader(self.made, dict(map(tuple, parts))), "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -225,7 +275,7 @@ class TokenFile:
     def read_one(self, doc_id: int) -> list[list[int]]:
         """Ids of the documents of that id, reading only blocks whose range holds it and slicing out its frames."""
         packed = []
-        for row in self.blocks.read().where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)).orderBy("part", "block").toLocalIterator():
+        for row in self.blocks().where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)).orderBy("part", "block").toLocalIterator():
             frames = _Unpacker(self.made, row["dict_hash"])
             packed += [frames.ids(row["data"][row["offsets"][i] : row["offsets"][i + 1]], row["width"]).tolist() for i, d in enumerate(row["docs"]) if d == doc_id]
         return packed
@@ -258,13 +308,18 @@ def _reader(made: bytes, before: dict[int, int]):
     return read
 
 
-def write(docs: DataFrame, path_of: Callable[[], str] = default_path, sample: int = SAMPLE) -> TokenFile:
-    """Encode every whole text of ``docs`` (doc_id, text) into a file in ascending doc_id order. ``path_of`` gives the tokenizer's path where it runs."""
+def write(docs: DataFrame, path: str | None = None, path_of: Callable[[], str] = default_path, sample: int = SAMPLE) -> TokenFile:
+    """Encode every whole text of ``docs`` (doc_id, text) into a file at ``path`` (new; by default in the shared folder), in ascending doc_id order.
+    ``path_of`` gives the tokenizer's path where it runs."""
+    spark = docs.sparkSession
+    path = path or staged_path(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     made = train_dictionary(rows, path_of, sample)
+    spark.createDataFrame([(hashlib.sha256(made).hexdigest(), made)], "name string, made binary").coalesce(1).write.parquet(f"{path}/dictionary")
     tie = F.xxhash64("text")
     placed = rows.withColumn("tie", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return TokenFile(docs.sparkSession, Staged(placed.mapInArrow(_writer(path_of, made), BLOCKS), "tokens"), made)
+    placed.mapInArrow(_writer(path_of, made), BLOCKS).write.parquet(f"{path}/blocks")
+    return TokenFile(spark, path)
 
 
 def scan(docs: DataFrame) -> DataFrame:

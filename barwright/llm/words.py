@@ -6,14 +6,14 @@ odd base modulo 2^64, so all words of a portion of texts are found and hashed by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
-PORTION = 1 << 20
+PORTION = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -67,20 +67,41 @@ class Portion:
         return out, begins
 
 
-def portions(texts: pa.Array, powers: Powers, most: int = PORTION) -> Iterator[Portion]:
-    """A column of strings in portions of about ``most`` bytes, a longer text in one of its own. Null is empty."""
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", "u1")
+def cuts(texts: pa.Array, most: int = PORTION) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of parts of about ``most`` bytes, a longer text in one of its own."""
+    kind = "<i8" if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else "<i4"
+    offsets = np.frombuffer(texts.buffers()[1] or bytes(8), kind)[texts.offset : texts.offset + len(texts) + 1]
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
-        part, bounds = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        yield first, last - first
+        first = last
+
+
+def sliced(batch: pa.RecordBatch, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes of ``text``, so that what is made of a slice stays small."""
+    for first, count in cuts(batch.column("text"), most):
+        yield batch.slice(first, count)
+
+
+def spans(texts: pa.Array, prepare: Callable[[pa.Array], pa.Array] | None = None, most: int = PORTION) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """A column of strings in portions of about ``most`` bytes, each made ready by ``prepare``: row of the first text,
+    all bytes, where texts begin and end in them, and starts and ends of words. Null is empty."""
+    for first, count in cuts(texts, most):
+        held = texts.slice(first, count)
+        held = (prepare(held) if prepare else held).cast(pa.large_binary()).fill_null(b"")
+        bounds = np.frombuffer(held.buffers()[1], "<i8")[held.offset : held.offset + count + 1]
+        part, bounds = np.frombuffer(held.buffers()[2] or b"", "u1")[bounds[0] : bounds[-1]], bounds - bounds[0]
         solid = ~SPACE[part]
         edge = np.zeros(len(part) + 1, bool)
         edge[bounds] = True  # a word never goes from one text to the next
         starts = np.flatnonzero(solid & (edge[:-1] | ~np.append(False, solid[:-1])))
         ends = np.flatnonzero(solid & (edge[1:] | ~np.append(solid[1:], False))) + 1
+        yield first, part, bounds, starts, ends
+
+
+def portions(texts: pa.Array, powers: Powers, prepare: Callable[[pa.Array], pa.Array] | None = None) -> Iterator[Portion]:
+    """The words of a column of strings, in portions as in ``spans``."""
+    for first, part, bounds, starts, ends in spans(texts, prepare):
         counts = np.diff(np.searchsorted(starts, bounds))
         yield Portion(first, part, counts, starts, ends, stretch_hashes(part, starts, ends, powers))
-        first = last
