@@ -1,39 +1,42 @@
 """Benchmark decontamination by template windows.
 
 Words become typed slots where they are numbers, units after a number, or names (capitalised words),
-and stay as lower-case words elsewhere. Windows of five canonical words are hashed and joined with
-those of the benchmark in two channels: ``literal``, where all words stay words, numbers too, and
-``template``, where they are slots. A document holds an item if 0.8 of the item's windows of a channel stand in it; in
-the template channel they must also stand together in an occurrence whose slots are consistent (one value
-of the item always becomes one value of the document, for at least 0.8 of the slots), which tells a
-re-parameterised question from chance. Each of several occurrences in a document is looked at by itself.
-It must also keep a fifth of the item's words (two at least), numbers apart, as they are: a copy of which
-less is left, all names and numbers, is not told from other texts of that form and not reported.
-
-The benchmark is a stated query set. It is cut in blocks of bounded size and every block is joined
-with all documents by a hash table in the task, so neither side is shuffled and what is sent out does
-not grow with the benchmark or the documents.
-
-Null and empty texts and items hold nothing and are never reported, nor are items of under five words;
-null ids are carried; repeated rows are reported once for each pair of ids; an empty table on either side
-gives an empty result; other columns are ignored.
+and stay as lower-case words elsewhere. Windows of five canonical words are hashed in two channels:
+``literal``, where all words stay words, numbers too, and ``template``, where they are slots. The windows of
+documents and benchmark are two tables joined on the hash. A document holds an item if 0.8 of the item's windows of
+a channel stand in it; in the template channel they must also stand together in an occurrence whose slots are
+consistent, which tells a re-parameterised question from chance: one value of the item always becomes one value of the
+document, and one value of the document always stands for one of the item, for at least 0.8 of the slots of each type, either way.
+Each of several occurrences in a document is looked at by itself. It must also keep a fifth of the item's words (two
+at least), numbers apart, as they are: a copy of which less is left, all names and numbers, is not told from other
+texts of that form and not reported. An item of fewer words than a window is a window by itself, in the literal channel only.
+
+Of the documents' windows only those leave a task whose place is set in a bit map of the benchmark's hashes. The map has
+16 places for each window of the benchmark, up to a fixed most (``blocks.bit_map``): it is all that is sent out, and it spares work but decides
+nothing. No text of the benchmark reaches the driver.
+
+Null and empty texts and items hold nothing and are never reported; null ids are carried; repeated rows are
+reported once for each pair of ids; an empty table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Portion, Powers, portions
+from .blocks import BitMap, bit_map
+from .common import Staged
+from .words import Portion, Powers, portions, sliced
 
 WINDOW, SHARE = 5, 0.8
-#: Characters of benchmark text in a block.
-BLOCK_CHARS = 4_000_000
 #: Words are parted as in ``words``.
 ASCII_SPACE = re.compile(r"[\t-\r ]+")
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?(?:st|nd|rd|th)?")
@@ -41,8 +44,9 @@ NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?(?:st|nd|rd|th)?")
 UNITS = frozenset("mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent mph kmh meter meters metre metres mile miles gram grams kilogram kilograms liter liters litre litres second seconds minute minutes inch inches foot feet".split())
 EDGES = "\"'`.,;:!?()[]{}<>*_~|…“”‘’«»¿¡"
 NUM, UNIT, NAME = "\0n", "\0u", "\0p"
-#: Id of what is no word; words whose forms a task remembers.
-GONE, MEMO = -2, 200_000
+SLOTS = (NUM, UNIT, NAME)
+#: Words whose forms a task remembers.
+MEMO = 200_000
 #: Share of the item's words, numbers apart, that an occurrence keeps as they are (two at least): slots alone are of one form in many texts.
 KEPT = 0.2
 #: Matches of windows looked at together.
@@ -71,26 +75,30 @@ def canonical(text: str | None) -> tuple[list[str], list[str]]:
     return literal, template
 
 
+def _code(form: str) -> int:
+    return xxhash.xxh64_intdigest(form.encode())
+
+
 class _Coder(dict):
-    """Hash of a raw word -> a code, under which ``table`` holds: literal id, template id, is a number, is a unit."""
+    """Hash of a raw word -> a column of ``table``: literal and template hash, whether it is a number, a unit, a word at all."""
 
-    def __init__(self, words: dict[str, int]):
-        self.words = words
-        self.table = np.empty((4, 1 << 16), np.int32)
+    def __init__(self):
+        self.table = np.empty((5, 1 << 16), "u8")
         self.powers = Powers()
+        self.unit = np.uint64(_code(UNIT))
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
-        get, rows, at = self.words.get, [], len(self)
+        rows, at = [], len(self)
         for raw in words:
             literal, template = _forms(raw)
-            rows.append((get(literal, -1), get(template, -1), template == NUM, literal in UNITS) if literal else (GONE, GONE, 0, 0))
+            rows.append((_code(literal), _code(template), template == NUM, literal in UNITS, literal != ""))
         self.update(zip(hashes, range(at, at + len(hashes))))
         while len(self) > self.table.shape[1]:
             self.table = np.concatenate((self.table, np.empty_like(self.table)), axis=1)
-        self.table[:, at : len(self)] = np.array(rows, np.int32).T
+        self.table[:, at : len(self)] = np.array(rows, "u8").T
 
-    def ids(self, portion: Portion) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Literal and template ids of the words of all texts, -1 for unknown ones and after each text; and where each text ends."""
+    def channels(self, portion: Portion) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Literal and template hashes of the words of all texts, and the text of each."""
         if len(self) > MEMO:
             self.clear()
         distinct, first, inverse = np.unique(portion.hashes, return_index=True, return_inverse=True)
@@ -98,89 +106,87 @@ class _Coder(dict):
         if fresh := [n for n, h in enumerate(known) if h not in self]:
             self._learn([known[n] for n in fresh], portion.words_at(first[fresh]))
         codes = np.fromiter(map(self.__getitem__, known), np.int64, len(known))[inverse]
-        ends = np.cumsum(portion.counts + 1)
-        full = np.full((4, ends[-1] if len(ends) else 0), -1, np.int32)
-        full[2:] = 0
-        full[:, np.arange(len(codes)) + np.repeat(np.arange(len(portion.counts)), portion.counts)] = self.table[:, codes]
-        kept = full[0] != GONE
-        ends = np.cumsum(kept)[ends - 1]
-        literal, template, number, unit = full[:, kept]
-        after = np.flatnonzero(unit[1:] & number[:-1]) + 1
-        template[after] = self.words.get(UNIT, -1)
-        return literal, template, ends
-
-
-def _window_hashes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        literal, template, number, unit, word = self.table[:, codes]
+        text = np.repeat(np.arange(len(portion.counts)), portion.counts)
+        kept = word == 1
+        literal, template, number, unit, text = (x[kept] for x in (literal, template, number, unit, text))
+        after = np.flatnonzero((unit[1:] == 1) & (number[:-1] == 1) & (text[1:] == text[:-1])) + 1
+        template[after] = self.unit
+        return literal, template, text
+
+
+def windows(words: np.ndarray, channel: int, width: int) -> np.ndarray:
+    """A hash of each window of hashed words."""
+    found = np.full(max(len(words) - width + 1, 0), channel * 8 + width, "u8")
+    for i in range(width):
+        found = (found ^ words[i : i + len(found)]) * MULTIPLIER
+        found ^= found >> np.uint64(29)
+    return found
+
+
+def _known_windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window of known words, and where those windows start. Unknown words are -1."""
-    n = len(ids) - WINDOW + 1
-    if n <= 0:
-        return np.empty(0, "u8"), np.empty(0, np.int64)
+    found = windows(ids.astype("u8"), 1, WINDOW)
+    if not len(found):
+        return found, np.empty(0, np.int64)
     gone = np.concatenate(([0], np.cumsum(ids < 0)))
     at = np.flatnonzero(gone[WINDOW:] == gone[:-WINDOW])
-    found = np.zeros(len(at), "u8")
-    known = ids.astype("u8")
-    for i in range(WINDOW):
-        found = (found ^ (known[at + i] + np.uint64(1))) * MULTIPLIER
-        found ^= found >> np.uint64(29)
-    return found, at
-
-
-class Block:
-    """The hash tables of some benchmark items."""
-
-    def __init__(self, items: list[tuple]):
-        self.items, self.words = [], {}
-        for item, text in items:
-            literal, template = canonical(text)
-            if len(literal) >= WINDOW:
-                self.items.append((item, literal, template))
-        for _, *channels in self.items:
-            for words in channels:
-                for w in words:
-                    self.words.setdefault(w, len(self.words))
-        self.tables = [self._table(c) for c in (1, 2)]
-        self.coder = _Coder(self.words)
-
-    def _table(self, channel: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted window hashes, the item of each, and the number of distinct windows by item."""
-        hashes, owners, counts = [np.empty(0, "u8")], [np.empty(0, np.int64)], np.zeros(len(self.items), np.int64)
-        for n, item in enumerate(self.items):
-            distinct = np.unique(_window_hashes(np.array([self.words[w] for w in item[channel]]))[0])
-            counts[n] = len(distinct)
-            hashes.append(distinct)
-            owners.append(np.full(len(distinct), n))
-        h, o = np.concatenate(hashes), np.concatenate(owners)
-        order = np.argsort(h, kind="stable")
-        return h[order], o[order], counts
-
-    def held(self, channel: int, ids: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], float]:
-        """(text, item) -> share of the item's distinct windows in the text, for shares of enough. The join of the windows."""
-        keys, owners, counts = self.tables[channel]
-        found, at = _window_hashes(ids)
-        low, high = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
-        hit = high > low
-        text = np.searchsorted(ends, at[hit], "right")
-        # a window of a text counts once
-        low, high, text = np.unique(np.stack((low[hit], high[hit], text)), axis=1)
-        times = high - low
-        owner = owners[np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())]
-        pairs, number = np.unique(np.repeat(text, times) * len(counts) + owner, return_counts=True)
-        share = number / np.maximum(counts[pairs % max(len(counts), 1)], 1) if len(pairs) else number
-        enough = share >= SHARE - 1e-9
-        return {(int(p) // len(counts), int(p) % len(counts)): float(x) for p, x in zip(pairs[enough], share[enough])}
-
-    def occurrence(self, n: int, literal: list[str], template: list[str]) -> float:
+    return found[at], at
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct windows of each item, how many there are of the channel, and how many words each spans."""
+    for batch in batches:
+        for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+            forms = canonical(text)
+            width = min(WINDOW, len(forms[0]))
+            for channel, words in enumerate(forms if width == WINDOW else forms[:1] if width else ()):
+                found = np.unique(windows(np.array([_code(w) for w in words], "u8"), channel, width))
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * n, pa.int64()), pa.array([channel] * n, pa.int32()), pa.array([width] * n, pa.int32()), pa.array([n] * n, pa.int32()), pa.array(found.view("i8"))], ["item", "channel", "width", "n", "window"])
+
+
+def _found(known: BitMap, widths: list[int]):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _Coder()
+        for batch in batches:
+            rows = batch.column("row").to_numpy()
+            for portion in portions(batch.column("text"), coder.powers):
+                literal, template, text = coder.channels(portion)
+                for width in widths:
+                    for channel, words in enumerate((literal, template) if width == WINDOW else (literal,)):
+                        hashes = windows(words, channel, width)
+                        at = np.flatnonzero(known.has(hashes))
+                        at = at[text[at] == text[at + width - 1]]
+                        if at.size:
+                            # a window of a text counts once
+                            pairs = np.unique(np.stack((text[at].astype("u8"), hashes[at])), axis=1)
+                            yield pa.RecordBatch.from_arrays([pa.array(rows[portion.first + pairs[0].astype(np.int64)]), pa.array(pairs[1].view("i8"))], ["row", "window"])
+
+    return found
+
+
+class Item:
+    """A benchmark item and where texts hold it."""
+
+    def __init__(self, text: str):
+        self.literal, self.template = canonical(text)
+        self.words: dict[str, int] = {}
+        for w in self.template:
+            self.words.setdefault(w, len(self.words))
+
+    def occurrence(self, literal: list[str], template: list[str]) -> float:
         """The best slot share of an occurrence of the item, -1 without one.
 
         Matching windows are taken together by start minus place in the item: equal ones, those within half the
         item's length (words put in or left out), and all of the text. An occurrence has SHARE of the item's windows.
         """
-        own = self.items[n][2]
+        own = self.template
         last = len(own) - WINDOW + 1
         held = self.words.get
-        codes = _window_hashes(np.array([self.words[w] for w in own]))[0]
+        codes = _known_windows(np.array([self.words[w] for w in own]))[0]
         order = np.argsort(codes, kind="stable")
-        found, at = _window_hashes(np.fromiter((held(w, -1) for w in template), np.int64, len(template)))
+        found, at = _known_windows(np.fromiter((held(w, -1) for w in template), np.int64, len(template)))
         low, high = np.searchsorted(codes, found, "left", sorter=order), np.searchsorted(codes, found, "right", sorter=order)
         hit = high > low
         low, times, at = low[hit], (high - low)[hit], at[hit]
@@ -192,13 +198,13 @@ class Block:
             several = times[a:b]
             starts = np.repeat(at[a:b], several)
             places = order[np.repeat(low[a:b] - np.cumsum(several) + several, several) + np.arange(several.sum())]
-            best = max(best, self._best(n, starts, places, literal))
+            best = max(best, self._best(starts, places, literal))
             if best >= 1.0:
                 break
         return best
 
-    def _best(self, n: int, starts: np.ndarray, places: np.ndarray, literal: list[str]) -> float:
-        own = self.items[n][2]
+    def _best(self, starts: np.ndarray, places: np.ndarray, literal: list[str]) -> float:
+        own = self.template
         need = SHARE * (len(own) - WINDOW + 1) - 1e-9
         by = np.argsort(starts - places, kind="stable")
         starts, places = starts[by], places[by]
@@ -210,14 +216,14 @@ class Block:
             some = (ends - first >= need) & (ends > before)
             before = ends
             for a, b in zip(first[some].tolist(), ends[some].tolist()):
-                best = max(best, self._slots(n, starts[a:b], places[a:b], literal, need))
+                best = max(best, self._slots(starts[a:b], places[a:b], literal, need))
                 if best >= 1.0:
                     return best
-        return max(best, self._slots(n, starts, places, literal, need))
+        return max(best, self._slots(starts, places, literal, need))
 
-    def _slots(self, n: int, starts: np.ndarray, places: np.ndarray, literal: list[str], need: float) -> float:
-        """Share of the slots under these windows whose value of the item has one value in the text; -1 for too few windows or kept words."""
-        _, values, own = self.items[n]
+    def _slots(self, starts: np.ndarray, places: np.ndarray, literal: list[str], need: float) -> float:
+        """Share of the slots under these windows that are consistent, the least of all types and both ways; -1 for too few windows or kept words."""
+        values, own = self.literal, self.template
         if len(np.unique(places)) < need:
             return -1.0
         steps = np.arange(WINDOW)
@@ -225,54 +231,58 @@ class Block:
         kept = {i for i, s in pairs.T.tolist() if values[i] == literal[s] and own[i] != NUM}
         if len(kept) < max(KEPT * len(own), 2):
             return -1.0
-        seen: dict[str, dict[str, int]] = {}
-        for i, s in pairs.T.tolist():
-            if own[i] in (NUM, UNIT, NAME):
-                told = seen.setdefault(values[i], {})
-                told[literal[s]] = told.get(literal[s], 0) + 1
-        total = sum(sum(x.values()) for x in seen.values())
-        return sum(max(x.values()) for x in seen.values()) / total if total else 1.0
-
-    def search(self, texts: pa.Array) -> Iterator[tuple]:
-        """(row, item_id, literal share, template share, slot share) for every text and item that it holds."""
-        read, words = -1, ([], [])
-        for portion in portions(texts, self.coder.powers) if self.items else ():
-            literal, template, ends = self.coder.ids(portion)
-            exact, loose = self.held(0, literal, ends), self.held(1, template, ends)
-            for text, n in sorted(exact.keys() | loose.keys()):
-                row = portion.first + text
-                if (text, n) in loose and row != read:
-                    read, words = row, canonical(texts[row].as_py())
-                slots = self.occurrence(n, *words) if (text, n) in loose else 0.0
-                if (text, n) in exact or slots >= SHARE:
-                    yield row, self.items[n][0], exact.get((text, n), 0.0), loose.get((text, n), 0.0), max(slots, 0.0)
-
-
-def _searcher(items: list[tuple]):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(items)
-        for batch in batches:
-            rows = list(block.search(batch.column("text")))
-            if rows:
-                at, item, exact, loose, slots = (list(x) for x in zip(*rows))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(item, pa.int64()), pa.array(exact, pa.float64()), pa.array(loose, pa.float64()), pa.array(slots, pa.float64())], ["doc_id", "item_id", "literal_share", "template_share", "slot_share"])
-
-    return search
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+        shares = [1.0]
+        for kind in SLOTS:
+            mine = [(values[i], literal[s]) for i, s in pairs.T.tolist() if own[i] == kind]
+            for way in (mine, [(b, a) for a, b in mine]):
+                told: dict[str, Counter] = {}
+                for a, b in way:
+                    told.setdefault(a, Counter())[b] += 1
+                if mine:
+                    shares.append(sum(max(x.values()) for x in told.values()) / len(mine))
+        return min(shares)
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the slot share of rows with enough template windows."""
+    items: dict[str, Item] = {}
+    read, forms = None, ([], [])
+    for batch in chain.from_iterable(map(sliced, batches)):
+        slots = []
+        for text, item, share in zip(*(batch.column(c) for c in ("text", "item_text", "template_share"))):
+            if (share.as_py() or 0.0) < SHARE - 1e-9:
+                slots.append(0.0)
+                continue
+            if len(items) > 10_000:
+                items.clear()
+            item, text = item.as_py(), text.as_py()
+            if item not in items:
+                items[item] = Item(item)
+            if text != read:
+                read, forms = text, canonical(text)
+            slots.append(max(items[item].occurrence(*forms), 0.0))
+        kept = batch.drop_columns(["text", "item_text"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(slots, pa.float64())], [*kept.schema.names, "slot_share"])
+
+
+def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document (doc_id, text) and item (item_id, text) that it holds: doc_id, item_id, literal_share, template_share, slot_share."""
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, item_id long, literal_share double, template_share double, slot_share double"
-    found = None
-    for n in range(blocks):
-        held = [tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == n).orderBy("item_id", "text").collect()]
-        part = docs.select("doc_id", "text").mapInArrow(_searcher(held), shape)
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("literal_share", "template_share", "slot_share")])
+    kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id")))
+    items = benchmark.where("text is not null").select("item_id", "text").distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    own = Staged(items.mapInArrow(_item_windows, "item long, channel int, width int, n int, window long"), "benchmark-windows").read()
+    widths = sorted(r["width"] for r in own.select("width").distinct().collect())  # WINDOW of them at most
+    rows = docs.select("doc_id", "text").where("text is not null").withColumn("row", F.xxhash64("doc_id", "text"))
+    met = rows.select("row", "text").mapInArrow(_found(bit_map(own, "window"), widths), "row long, window long")
+    # rows of one id and text have one number, and their windows count once
+    shared = met.join(own.select("window", "item", "channel", "n"), "window").groupBy("row", "item", "channel", "n").agg(F.count_distinct("window").alias("held"))
+    enough = shared.where(F.col("held") >= F.col("n") * SHARE - 1e-9).withColumn("share", F.col("held") / F.col("n"))
+    share = lambda channel: F.coalesce(F.max(F.when(F.col("channel") == channel, F.col("share"))), F.lit(0.0))
+    held = Staged(enough.groupBy("row", "item").agg(share(0).alias("literal_share"), share(1).alias("template_share")), "benchmark-held").read()
+    texts = rows.join(held.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    asked = held.join(items.withColumnRenamed("text", "item_text"), "item").join(texts, "row").select("doc_id", "item_id", "literal_share", "template_share", "text", "item_text")
+    shape = f"doc_id {kind}, item_id {item_kind}, literal_share double, template_share double, slot_share double"
+    said = asked.mapInArrow(_verify, shape).where((F.col("literal_share") > 0) | (F.col("slot_share") >= SHARE - 1e-9))
+    return said.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("literal_share", "template_share", "slot_share")])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
