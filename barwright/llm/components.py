@@ -24,13 +24,13 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """From links (a, b) to (node, component): the smallest node that links reach. Nodes without a link have no row.
 
     Repeated links, both directions and links of a node to itself are allowed; rows with a null end are ignored.
     """
     held = Staged(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    for _ in range(rounds):
+    while True:  # each round but the last makes some node's label smaller
         links = held.read()
         many = links.groupBy("u").count().where("count > 1").isEmpty()
         if many and links.join(links.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
@@ -38,7 +38,5 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         after = Staged(_small_star(_large_star(links)), "links")
         held.drop()
         held = after
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     links = held.read()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
