@@ -6,18 +6,23 @@ instead of failing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Series
-from .style import CHART_PART, GRID_COLUMNS, GRID_ROWS, SPACING, TICK, VOLUME_PART
+from .style import BOX, CHART_PART, GRID_COLUMNS, GRID_ROWS, SPACING, TICK, VOLUME_PART
 
 
 def _placed(df: DataFrame, s: Series, low: str, high: str, volume: str | None) -> DataFrame:
     """row (0-based), _n rows, price bounds and greatest volume of each chart."""
-    chart = Window.partitionBy(*s.keys)
-    bounds = {"_n": F.count(F.lit(1)).over(chart), "_low": F.min(low).over(chart), "_high": F.max(high).over(chart), "row": F.row_number().over(s.w) - 1}
-    return df.withColumns(bounds | ({"_top": F.max(volume).over(chart)} if volume else {}))
+    bounds = [F.count(F.lit(1)).alias("_n"), F.min(low).alias("_low"), F.max(high).alias("_high")]
+    by = df.groupBy(*s.keys).agg(*bounds, *([F.max(volume).alias("_top")] if volume else []))
+    # one row for each chart
+    rows = df.withColumn("row", F.row_number().over(s.w) - 1)
+    if not s.keys:
+        return rows.crossJoin(F.broadcast(by))
+    named = F.struct(*s.keys)
+    return rows.withColumn("_id", named).join(by.select(named.alias("_id"), *by.columns[len(s.keys) :]), "_id").drop("_id")
 
 
 def _int(c: Column) -> Column:
@@ -71,3 +76,33 @@ def grid(df: DataFrame, s: Series, width: int = 1920, height: int = 1080) -> Dat
     down = counts.select(*s.keys, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, step.cast("long"))).alias("_i"))
     x = _int(F.col("_i") * (F.lit(float(width)) / (F.col("_n") + 1)))
     return across.unionByName(down.select(*s.keys, x.alias("x1"), F.lit(0).cast("long").alias("y1"), x.alias("x2"), F.lit(top).cast("long").alias("y2")))
+
+
+def _by_key(rows: DataFrame, s: Series, *made: Column) -> DataFrame:
+    """Adds aggregates of each chart to its rows."""
+    named = F.struct(*s.keys) if s.keys else F.lit(0)
+    by = rows.groupBy(named.alias("_id")).agg(*made)
+    return rows.withColumn("_id", named).join(by, "_id").drop("_id")
+
+
+def renko_boxes(bricks: DataFrame, s: Series, box: float, width: int = 1920, height: int = 1080) -> DataFrame:
+    """From Renko bricks (keys, brick, price, direction) of one box size: keys, brick, x_start, x_end, y_start, y_end, direction."""
+    tall = int(height * CHART_PART)
+    rows = _by_key(bricks, s, F.count(F.lit(1)).alias("_n"), (F.min("price") - box).alias("_low"), (F.max("price") + box).alias("_high"))
+    slot = F.lit(float(width)) / (F.col("_n") + 1)
+    deep = F.greatest(_int(F.lit(float(box)) / (F.col("_high") - F.col("_low")) * tall), F.lit(1).cast("long"))
+    rows = rows.withColumns({"x_start": _int(F.col("brick") * slot + slot * SPACING / 2), "y_start": _y("price", tall)})
+    rows = rows.withColumns({"x_end": _int(F.col("x_start") + slot * (1 - SPACING)), "y_end": F.when(F.col("direction") > 0, F.col("y_start") + deep).otherwise(F.col("y_start") - deep)})
+    return rows.select(*s.keys, F.col("brick").cast("long").alias("brick"), "x_start", "x_end", "y_start", "y_end", "direction")
+
+
+def point_and_figure_boxes(boxes: DataFrame, s: Series, box: float, width: int = 1920, height: int = 1080) -> DataFrame:
+    """From boxes of columns (keys, column, type, position, price) of one box size: keys, column, position, type, x_center, y_center, half_width, half_height."""
+    rows = _by_key(boxes, s, (F.max("column") + 1).alias("_n"), (F.min("price") - box).alias("_low"), (F.max("price") + box).alias("_high"))
+    slot = F.lit(float(width)) / (F.col("_n") + 1)
+    deep = F.greatest(_int(F.lit(float(box)) / (F.col("_high") - F.col("_low")) * height), F.lit(10).cast("long"))
+    return rows.select(
+        *s.keys, "column", F.col("position").cast("long").alias("position"), "type",
+        _int(_int(F.col("column") * slot) + slot / 2).alias("x_center"), _y("price", height).alias("y_center"),
+        _int(F.floor(_int(slot * BOX) / 2)).alias("half_width"), _int(F.floor(deep / 2)).alias("half_height"),
+    )

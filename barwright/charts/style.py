@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass, fields, replace
 
 from ..errors import ConfigurationError
 from ..functions.rowwise import rgba
@@ -17,8 +17,12 @@ THEMES = {
 #: Layout.
 CHART_PART, VOLUME_PART, SPACING, TICK, BOX = 0.7, 0.3, 0.2, 0.4, 0.8
 GRID_ROWS, GRID_COLUMNS, VOLUME_ALPHA, AREA_ALPHA, GRID_ALPHA = 10, 20, 0.5, 0.2, 0.25
+#: Other names of themes.
 STYLES = {"binance": "tradingview", "binancedark": "tradingview"}
+#: Names of chart types.
 KINDS = {"candle": "candle", "candlestick": "candle", "ohlc": "ohlc", "bars": "ohlc", "line": "line", "hollow": "hollow", "hollow_and_filled": "hollow", "renko": "renko", "pnf": "pnf", "pointandfigure": "pnf"}
+#: Colours of overlaid lines, in turn.
+LINES = ("#F5B041", "#5DADE2", "#AF7AC5", "#58D68D", "#EC7063", "#F7DC6F")
 
 
 @dataclass(frozen=True)
@@ -34,12 +38,14 @@ class Style:
     show_volume: bool = True
     fill_area: bool = False
     line_width: float = 2.0
+    wick_width: float = 1.0
 
     def __post_init__(self) -> None:
         if not (100 <= self.width <= 8192 and 100 <= self.height <= 8192):
             raise ConfigurationError(f"width and height must be 100 to 8192 pixels, got {self.width} x {self.height}")
-        if not 0.1 <= self.line_width <= 20:
-            raise ConfigurationError(f"line_width must be 0.1 to 20, got {self.line_width}")
+        for name in ("line_width", "wick_width"):
+            if not 0.1 <= getattr(self, name) <= 20:
+                raise ConfigurationError(f"{name} must be 0.1 to 20, got {getattr(self, name)}")
         if STYLES.get(self.theme, self.theme) not in THEMES:
             raise ConfigurationError(f"unknown theme {self.theme!r}")
         for c in (self.bg, self.up, self.down, self.grid):
@@ -63,6 +69,13 @@ class Style:
     def as_dict(self) -> dict:
         return asdict(self)
 
+    @classmethod
+    def from_settings(cls, settings: dict) -> Style:
+        """From a dictionary; a name that is no setting is an error."""
+        if unknown := set(settings) - {f.name for f in fields(cls)}:
+            raise ConfigurationError(f"unknown settings: {', '.join(sorted(unknown))}")
+        return cls(**settings)
+
 
 def kind_of(name: str) -> str:
     try:

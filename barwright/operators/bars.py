@@ -104,6 +104,42 @@ class RangeBars:
         return [(_stamp(bar[0]), *bar[1:])] if bar and bar[5] > 0 else []
 
 
+class CountBars:
+    """Bars of a number of ticks, or of a volume (the tick that crosses a boundary opens the next bar), in one pass: for streams. Batches sum up by chunks."""
+
+    fields = (("bar", "long"), ("ts", "timestamp"), *OHLC)
+
+    def __init__(self, size: float, by_volume: bool, ts: str, price: str, volume: str):
+        self.size, self.by_volume, self.ts, self.price, self.volume = size, by_volume, ts, price, volume
+
+    def start(self) -> dict:
+        return {"sum": 0.0, "bar": None}
+
+    @staticmethod
+    def _row(bar: list) -> tuple:
+        return (bar[0], _stamp(bar[1]), *bar[2:])
+
+    def run(self, state: dict, x: Arrays) -> tuple[list[tuple], dict]:
+        out, held, total = [], state["bar"], state["sum"]
+        for t, p, v in zip(x[self.ts].tolist(), x[self.price].tolist(), x[self.volume].tolist()):
+            v = 0.0 if math.isnan(v) else v
+            # a tick is counted after it is placed, a volume before
+            number = int((total + v) // self.size) if self.by_volume else int(total // self.size)
+            total += v if self.by_volume else 1
+            if held is not None and held[0] != number:
+                out.append(self._row(held))
+                held = None
+            if held is None:
+                held = [number, t, p, p, p, p, v]
+            else:
+                # min and max pass over what is absent
+                held[3], held[4], held[5], held[6] = np.fmax(held[3], p).item(), np.fmin(held[4], p).item(), p, held[6] + v
+        return out, {"sum": total, "bar": held}
+
+    def finish(self, state: dict) -> list[tuple]:
+        return [self._row(state["bar"])] if state["bar"] else []
+
+
 class KagiLines:
     """Lines that turn when the price comes back by ``amount``, or by ``share`` of the line's end. The turning tick widens the line it ends; its volume is the new line's."""
 

@@ -302,3 +302,72 @@ class Supertrend:
             held = (top, bottom, close, way)
             line[i], trend[i] = bottom if way == 1 else top, way
         return {"supertrend": line, "trend": trend}, (inner, row, held)
+
+
+class Aroon:
+    """How long ago the greatest high and the least low of the last n rows were; of equal ones the latest. Holds n - 1 rows."""
+
+    outputs = ("aroon_up", "aroon_down")
+
+    def __init__(self, n: int, high: str, low: str):
+        self.n, self.columns = n, (high, low)
+
+    def start(self) -> tuple:
+        return (np.empty(0), np.empty(0))
+
+    def _ages(self, x: np.ndarray, rows: int) -> np.ndarray:
+        """100 (n - age) / n of the greatest of each n rows, absent where one of them is."""
+        out = np.full(rows, np.nan)
+        if len(x) >= self.n:
+            # newest first, so that the first of equal values is the latest
+            window = np.lib.stride_tricks.sliding_window_view(x, self.n)[:, ::-1]
+            made = (self.n - np.argmax(window, axis=1)) * 100.0 / self.n
+            made[np.isnan(window).any(axis=1)] = np.nan
+            out[rows - len(made) :] = made
+        return out
+
+    def run(self, state: tuple, x: Arrays) -> tuple[Arrays, tuple]:
+        high, low = (np.append(held, x[c]) for held, c in zip(state, self.columns))
+        rows = len(x[self.columns[0]])
+        made = {"aroon_up": self._ages(high, rows), "aroon_down": self._ages(-low, rows)}
+        keep = self.n - 1
+        return made, (high[len(high) - keep :] if keep and len(high) > keep else high[:keep], low[len(low) - keep :] if keep and len(low) > keep else low[:keep])
+
+
+class Windowed:
+    """A column over the last n rows, for streams: ``made`` takes a matrix of n columns, one row of values each. Absent until n rows are there."""
+
+    def __init__(self, x: str, n: int, made: Callable[[np.ndarray], np.ndarray], out: str):
+        self.x, self.n, self.made, self.outputs = x, n, made, (out,)
+
+    def start(self) -> np.ndarray:
+        return np.empty(0)
+
+    def run(self, state: np.ndarray, x: Arrays) -> tuple[Arrays, np.ndarray]:
+        whole, rows = np.append(state, x[self.x]), len(x[self.x])
+        out = np.full(rows, np.nan)
+        if len(whole) >= self.n:
+            made = self.made(np.lib.stride_tricks.sliding_window_view(whole, self.n))
+            out[rows - len(made) :] = made
+        return {self.outputs[0]: out}, whole[max(0, len(whole) - self.n + 1) :]
+
+
+def sma(x: str, n: int, out: str = "sma") -> Windowed:
+    return Windowed(x, n, lambda w: w.mean(axis=1), out)
+
+
+def rolling_extreme(x: str, n: int, greatest: bool, out: str) -> Windowed:
+    return Windowed(x, n, lambda w: w.max(axis=1) if greatest else w.min(axis=1), out)
+
+
+def rolling_std(x: str, n: int, out: str) -> Windowed:
+    return Windowed(x, n, lambda w: w.std(axis=1, ddof=1), out)
+
+
+def wma(x: str, n: int, out: str = "wma") -> Windowed:
+    weights = np.arange(1, n + 1) / (n * (n + 1) / 2)
+    return Windowed(x, n, lambda w: w @ weights, out)
+
+
+def roc(x: str, n: int, out: str = "roc") -> Windowed:
+    return Windowed(x, n + 1, lambda w: np.divide((w[:, -1] - w[:, 0]) * 100, w[:, 0], out=np.full(len(w), np.nan), where=w[:, 0] != 0), out)

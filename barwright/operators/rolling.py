@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..errors import period, positive
 from ..functions.rowwise import typical_price
 from ..model import EPSILON, Series
+from .kernels import Aroon
+from .scan import scan
 
 
 def rolling_max(x: str, s: Series, window: int) -> Column:
@@ -73,18 +75,17 @@ def sma(df: DataFrame, s: Series, n: int = 20, x: str = "close", out: str = "sma
 
 
 def _wma(x: str, s: Series, n: int) -> Column:
-    """The newest of n rows weighs n, the oldest 1. Long windows use two sums instead of n lags."""
+    """The newest of n rows weighs n, the oldest 1. Long windows weigh a list of their values instead of n lags."""
     if n <= 64:
         total = sum(((n - k) * s.prev(x, k) for k in range(1, n)), n * F.col(x))
         return total / (n * (n + 1) / 2)
-    at = F.row_number().over(s.w)
-    return s.full(n, F.sum(F.col(x)), x) * 0 + (F.sum(F.col(x) * F.col("_at")).over(s.last(n)) - (at - n) * F.sum(x).over(s.last(n))) / (n * (n + 1) / 2)
+    weighed = F.transform(F.collect_list(F.col(x).cast("double")).over(s.last(n)), lambda v, i: v * (i + 1))
+    return F.when(F.count(x).over(s.last(n)) >= n, F.aggregate(weighed, F.lit(0.0), lambda a, v: a + v) / (n * (n + 1) / 2))
 
 
 def wma(df: DataFrame, s: Series, n: int = 20, x: str = "close", out: str = "wma") -> DataFrame:
     period(n=n)
-    rows = df if n <= 64 else df.withColumn("_at", F.row_number().over(s.w))
-    return rows.withColumn(out, _wma(x, s, n)).drop(*([] if n <= 64 else ["_at"]))
+    return df.withColumn(out, _wma(x, s, n))
 
 
 def vwma(df: DataFrame, s: Series, n: int = 20, x: str = "close", volume: str = "volume", out: str = "vwma") -> DataFrame:
@@ -101,14 +102,9 @@ def hma(df: DataFrame, s: Series, n: int = 20, x: str = "close", out: str = "hma
 
 
 def aroon(df: DataFrame, s: Series, n: int = 25, high: str = "high", low: str = "low") -> DataFrame:
-    """aroon_up and aroon_down over n rows (not n + 1); of equal extremes the latest counts."""
+    """aroon_up and aroon_down over n rows (not n + 1); of equal extremes the latest counts. One pass: a window would look at n rows for each."""
     period(n=n)
-    at = F.col("_at")
-    age = lambda made: at - made.over(s.last(n))
-    full = lambda c, e: F.when(F.count(c).over(s.last(n)) >= n, (F.lit(n) - e) * 100.0 / n)
-    rows = df.withColumn("_at", F.row_number().over(s.w))
-    top, bottom = age(F.max_by(at, F.struct(high, at))), age(F.min_by(at, F.struct(F.col(low), -at)))
-    return rows.withColumns({"aroon_up": full(high, top), "aroon_down": full(low, bottom)}).drop("_at")
+    return scan(df, s, [high, low], [Aroon(n, high, low)])
 
 
 def ichimoku(df: DataFrame, s: Series, conversion: int = 9, base: int = 26, span: int = 52, displacement: int = 26, high: str = "high", low: str = "low", close: str = "close") -> DataFrame:

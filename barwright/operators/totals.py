@@ -20,15 +20,20 @@ def running_totals(df: DataFrame, s: Series, totals: dict[str, Column]) -> DataF
     rows = df.withColumns(values)
     if s.chunk is None:
         return rows.withColumns({n: F.sum(f"_v_{n}").over(s.running) for n in totals}).drop(*values)
-    rows = rows.withColumn("_chunk", F.date_trunc(s.chunk, F.col(s.order[0]).cast("timestamp")))
-    by = [*s.keys, "_chunk"]
-    whole = rows.groupBy(*by).agg(*[F.sum(v).alias(v) for v in values])
+    # one column names a chunk, nulls among the keys included, so that the window and the join share one exchange
+    rows = _chunked(rows, s)
+    whole = rows.groupBy(*s.keys, "_chunk", "_id").agg(*[F.sum(v).alias(v) for v in values])
     before = Window.partitionBy(*s.keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = whole.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_b{v}") for v in values])
-    inside = Window.partitionBy(*by).orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]
-    joined = rows.join(ahead, same)
-    return joined.withColumns({n: F.col(f"_b_v_{n}") + F.sum(f"_v_{n}").over(inside) for n in totals}).select(*df.columns, *totals)
+    ahead = whole.select("_id", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_b{v}") for v in values])
+    inside = Window.partitionBy("_id").orderBy(*s.order).rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.withColumns({f"_in_{n}": F.sum(f"_v_{n}").over(inside) for n in totals})
+    return within.join(ahead, "_id").withColumns({n: F.col(f"_b_v_{n}") + F.col(f"_in_{n}") for n in totals}).select(*df.columns, *totals)
+
+
+def _chunked(rows: DataFrame, s: Series) -> DataFrame:
+    """Adds ``_chunk`` and ``_id``, which tells chunks of all series apart."""
+    made = rows.withColumn("_chunk", F.date_trunc(s.chunk, F.col(s.order[0]).cast("timestamp")))
+    return made.withColumn("_id", F.struct(*s.keys, "_chunk"))
 
 
 def cumulative_sum(df: DataFrame, s: Series, x: str, out: str = "cumulative") -> DataFrame:
@@ -37,8 +42,22 @@ def cumulative_sum(df: DataFrame, s: Series, x: str, out: str = "cumulative") ->
 
 def obv(df: DataFrame, s: Series, close: str = "close", volume: str = "volume", out: str = "obv") -> DataFrame:
     """On-balance volume: the signed volume so far, 0 at the first row."""
-    step = F.coalesce(F.signum(F.col(close) - s.prev(close)) * F.col(volume), F.lit(0.0))
-    return running_totals(df.withColumn("_step", step), s, {out: F.col("_step")}).drop("_step")
+    value = F.signum(F.col(close) - F.col("_was")) * F.col(volume)
+    made = previous(df, s, close, "_was")
+    return running_totals(made.withColumn("_step", F.coalesce(value, F.lit(0.0))), s, {out: F.col("_step")}).select(*df.columns, out)
+
+
+def previous(df: DataFrame, s: Series, x: str, out: str) -> DataFrame:
+    """The value of the row before: within a chunk by a window, at its first row the last value of the chunk before."""
+    if s.chunk is None:
+        return df.withColumn(out, s.prev(x))
+    need(df, *s.keys, *s.order)
+    rows = _chunked(df, s)
+    last = rows.groupBy(*s.keys, "_chunk", "_id").agg(F.max_by(F.struct(F.col(x).alias("x")), F.struct(*s.order)).alias("_last"))
+    ahead = last.select("_id", F.lag("_last").over(Window.partitionBy(*s.keys).orderBy("_chunk"))["x"].alias("_ahead"))
+    inside = Window.partitionBy("_id").orderBy(*s.order)
+    within = rows.withColumns({"_first": F.row_number().over(inside) == 1, "_lag": F.lag(x).over(inside)})
+    return within.join(ahead, "_id").withColumn(out, F.when(F.col("_first"), F.col("_ahead")).otherwise(F.col("_lag"))).select(*df.columns, out)
 
 
 def vwap(df: DataFrame, s: Series, high: str = "high", low: str = "low", close: str = "close", volume: str = "volume", out: str = "vwap") -> DataFrame:

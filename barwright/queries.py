@@ -224,6 +224,13 @@ o AS (SELECT b.key, b.ts, CASE WHEN dir = 1 THEN fl ELSE fu END AS supertrend, d
     # the same over series cut in blocks of rows
     _on_candles("ema_blocked", lambda d: long.ema(d, s, 12, rows=50), ("ema",), f"{ema('e', 12)}, o AS (SELECT key, ts, y AS ema FROM e)")
     _windowed("bollinger_blocked", lambda d: long.blocked(d, s, 19, rolling.bollinger, rows=50), bb_upper=f"{mid} + 2 * {off}", bb_middle=mid, bb_lower=f"{mid} - 2 * {off}")
+    _on_candles("rsi_blocked", lambda d: long.rsi(d, s, rows=50), ("rsi",), f"{rsi(14)}, o AS (SELECT * FROM rr)")
+    _on_candles("atr_blocked", lambda d: long.atr(d, s, rows=50), ("atr",), f"{ranged}, {_ewm('a', 'tr', 'r', 1 / 14)}, o AS (SELECT key, ts, y AS atr FROM a)")
+    for name in ("macd", "keltner", "tsi"):
+        made, columns = {"macd": (long.macd, ("macd_line", "macd_signal", "macd_histogram")), "keltner": (long.keltner, ("kc_upper", "kc_middle", "kc_lower")), "tsi": (long.tsi, ("tsi",))}[name]
+        ALL[f"{name}_blocked"] = (lambda spark, d, made=made, columns=columns: _result(made(candles(spark, d), s, rows=50), *columns), ALL[name][1])
+    _on_candles("ewm_mean_adjusted", lambda d: recursive.ewm_mean(d, s, 10, True), ("ewm",), f"{_seeded('e', 'hb', 'close', 2 / 11, 10)}, o AS (SELECT key, ts, y AS ewm FROM e)")
+    _on_candles("wma_long", lambda d: rolling.wma(d, s, 70), ("wma",), f"o AS (SELECT key, ts, {wma(70, 'close')} AS wma FROM hb)")
     batch = ("atr", "rsi", "stoch_k", "stoch_d", "bb_upper", "bb_middle", "bb_lower", "obv", "macd_line", "macd_signal", "macd_histogram")
     batch_sql = f"""{rsi(14)}, {ranged}, {_ewm('ra', 'tr', 'r', 1 / 14)}, {macd},
 w1 AS (SELECT key, ts, {k(14)} AS stoch_k, {mid} + 2 * {off} AS bb_upper, {mid} AS bb_middle, {mid} - 2 * {off} AS bb_lower, {obv} AS x FROM hb),
@@ -266,6 +273,16 @@ r AS (SELECT key, i, 0 AS g, price AS p0, price AS p1, 0 AS way FROM n WHERE i =
     FROM (SELECT n.key, n.i, r.g, r.p0, r.p1, r.way, n.price AS p, CASE WHEN r.way != 0 AND (r.p1 - n.price) * r.way >= 40 THEN 1 ELSE 0 END AS turn FROM r JOIN n ON n.key = r.key AND n.i = r.i + 1)),
 a AS (SELECT key, g, min(ts) AS ts, arg_min(p0, i) AS open, max(price) AS high, min(price) AS low, arg_max(p1, i) AS close, sum(volume) AS volume, arg_min(price, i) AS head, arg_max(way, i) AS way FROM r JOIN n USING (key, i) GROUP BY key, g),
 b AS (SELECT *, lead(head) OVER (PARTITION BY key ORDER BY g) AS turned FROM a),
+o AS (SELECT key, ts, open, greatest(high, open, turned) AS high, least(low, open, turned) AS low, close, volume FROM b WHERE way != 0)""",
+    )
+    _bars(
+        "kagi_share", lambda d: bars.kagi(d, TICKS, share=0.5),
+        f"""{numbered},
+r AS (SELECT key, i, 0 AS g, price AS p0, price AS p1, 0 AS way FROM n WHERE i = 1 UNION ALL
+    SELECT key, i, g + turn, CASE WHEN turn = 1 THEN p1 ELSE p0 END, CASE WHEN turn = 1 OR way = 0 OR (p - p1) * way > 0 THEN p ELSE p1 END, CASE WHEN way = 0 THEN sign(p - p0)::INT WHEN turn = 1 THEN -way ELSE way END
+    FROM (SELECT n.key, n.i, r.g, r.p0, r.p1, r.way, n.price AS p, CASE WHEN r.way != 0 AND (r.p1 - n.price) * r.way > 0 AND (r.p1 - n.price) * r.way >= abs(r.p1) * 0.5::DOUBLE THEN 1 ELSE 0 END AS turn FROM r JOIN n ON n.key = r.key AND n.i = r.i + 1)),
+a AS (SELECT key, g, min(ts) AS ts, arg_min(p0, i) AS open, max(price) AS high, min(price) AS low, arg_max(p1, i) AS close, sum(volume) AS volume, arg_min(price, i) AS head, arg_max(way, i) AS way FROM r JOIN n USING (key, i) GROUP BY key, g),
+b AS (SELECT *, lead(head) OVER (PARTITION BY key ORDER BY g) AS turned FROM a),
 o AS (SELECT key, ts, open, greatest(high, open, turned) AS high, least(low, open, turned) AS low, close, volume FROM b WHERE way != 0)""",
     )
     _bars(
@@ -337,11 +354,19 @@ SELECT key, bin, round(level, {DIGITS}) + 0.0 AS level, volume, round(first_valu
         lambda spark, d: summaries.trend_line(orders(spark, d), "x", "y", ("key",)).select("o_orderkey", F.round("trend", 4).alias("trend")),
         f"WITH o AS ({o_sql}), f AS (SELECT key, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM o GROUP BY key) SELECT o_orderkey, round(a * x + b, 4) AS trend FROM o JOIN f USING (key)",
     )
+    powers = ", ".join([f"sum(z ** {k}) AS m{k}" for k in range(5)] + [f"sum(z ** {k} * y) AS r{k}" for k in range(3)])
+    det = lambda a, b, c, d, e, f, g, h, i: f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+    whole = det("m0", "m1", "m2", "m1", "m2", "m3", "m2", "m3", "m4")
+    solved = (det("r0", "m1", "m2", "r1", "m2", "m3", "r2", "m3", "m4"), det("m0", "r0", "m2", "m1", "r1", "m3", "m2", "r2", "m4"), det("m0", "m1", "r0", "m1", "m2", "r1", "m2", "m3", "r2"))
+    ALL["polynomial_fit_quadratic"] = (
+        lambda spark, d: _polynomial(orders(spark, d), 2),
+        f"WITH o AS ({o_sql}), c AS (SELECT avg(x) AS a, stddev_pop(x) AS b FROM o), p AS (SELECT o_orderkey, y, (x - a) / b AS z FROM o, c), m AS (SELECT {powers} FROM p), s AS (SELECT {', '.join(f'{d} / {whole} AS c{i}' for i, d in enumerate(solved))} FROM m) SELECT o_orderkey, round(c0 + c1 * z + c2 * z * z, 4) AS fitted FROM p, s",
+    )
     ALL["polynomial_fit"] = (lambda spark, d: _polynomial(orders(spark, d)), f"WITH o AS ({o_sql}), m AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM o) SELECT o_orderkey, round(a * x + b, 4) AS fitted FROM o, m")
 
 
-def _polynomial(df: DataFrame) -> DataFrame:
-    return summaries.polynomial_fit(df, "x", "y", 1)[1].select("o_orderkey", F.round("fitted", 4).alias("fitted"))
+def _polynomial(df: DataFrame, degree: int = 1) -> DataFrame:
+    return summaries.polynomial_fit(df, "x", "y", degree)[1].select("o_orderkey", F.round("fitted", 4).alias("fitted"))
 
 
 _register_summaries()
@@ -354,6 +379,7 @@ def daily_sma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _register_recipes() -> None:
     from .charts import geometry
+    from .functions import tables
     from .plans import recipes
 
     ALL["daily_sma"] = (daily_sma, f"{TICKS_SQL}, a AS (SELECT key, time_bucket(INTERVAL '1 day', ts) AS ts, arg_min(price, row(ts, event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, row(ts, event_id)) AS close, sum(volume) AS volume FROM ticks GROUP BY 1, 2), o AS (SELECT *, {_full(3, 'avg', 'close')} AS sma FROM a) {_result_sql('o', 'open', 'high', 'low', 'close', 'volume', 'sma')}")
@@ -371,8 +397,63 @@ b AS (SELECT *, 1280.0::DOUBLE / (n + 1) AS slot FROM a)
 SELECT key, i AS row, {x}::BIGINT AS x_start, floor({x} + slot * 0.8)::BIGINT AS x_end, floor({x} + slot * 0.8 / 2)::BIGINT AS x_center,
     {', '.join(f'floor({int(720 * 0.7)} - ({c} - lo) / (hi - lo) * {int(720 * 0.7)})::BIGINT AS y_{c}' for c in ('high', 'low', 'open', 'close'))}, floor(volume / top::DOUBLE * 216)::BIGINT AS volume_height, (close >= open)::INT AS bullish FROM b""",
     )
-    ALL["charts_svg"] = (lambda spark, d: recipes.charts(candles(spark, d), BARS, "svg").select("key", F.length("image").alias("bytes")), None)
-    ALL["charts_png"] = (lambda spark, d: recipes.charts(candles(spark, d), BARS, "png").select("key", F.length("image").alias("bytes")), None)
+    image = lambda spark, d, form, **more: recipes.charts(candles(spark, d), BARS, form, rows=None, **more)
+    marks = lambda name: F.regexp_count(F.col("image").cast("string"), F.lit(f"<{name} ")).cast("long").alias(f"{name}s")
+    counted = f"{TICKS_SQL}, a AS (SELECT key, count(*) AS n, count(*) FILTER (volume IS NOT NULL) AS v FROM hb GROUP BY key), g AS (SELECT *, 9 + (n + greatest(1, n // 20) - 1) // greatest(1, n // 20) AS grid FROM a)"
+    ALL["charts_svg"] = (lambda spark, d: image(spark, d, "svg").select("key", marks("rect"), marks("line")), f"{counted} SELECT key, 1 + 2 * n AS rects, n + grid AS lines FROM g")
+    # prices, averages of 5 and 10 rows, RSI with two levels, MACD: each line has a piece less than values
+    ALL["charts_panels"] = (
+        lambda spark, d: image(spark, d, "svg", sma=(5,), ema=(10,), panels=("rsi", "macd")).select("key", marks("rect"), marks("line")),
+        f"{counted} SELECT key, 1 + n + greatest(n - 33, 0) AS rects, n + grid + greatest(n - 5, 0) + (n - 1) + 1 + 2 + (n - 1) + 1 + greatest(n - 26, 0) + greatest(n - 34, 0) AS lines FROM g",
+    )
+    head = lambda at: F.conv(F.hex(F.substring("image", at, 4)), 16, 10).cast("long")
+    ALL["charts_png"] = (lambda spark, d: image(spark, d, "png").select("key", head(17).alias("width"), head(21).alias("height"), F.hex(F.substring("image", 2, 3)).alias("kind")), f"{TICKS_SQL} SELECT DISTINCT key, 640::BIGINT AS width, 360::BIGINT AS height, '504E47' AS kind FROM hb")
+    placed = f"""{TICKS_SQL}, a AS (SELECT *, row_number() OVER {W} - 1 AS i, count(*) OVER (PARTITION BY key) AS n, min(low) OVER (PARTITION BY key) AS lo, max(high) OVER (PARTITION BY key) AS hi,
+    min(close) OVER (PARTITION BY key) AS clo, max(close) OVER (PARTITION BY key) AS chi, max(volume) OVER (PARTITION BY key) AS top FROM hb), b AS (SELECT *, 1280.0::DOUBLE / (n + 1) AS slot FROM a)"""
+    mid = "floor((i + 0.5::DOUBLE) * slot)"
+    ALL["ohlc_geometry"] = (
+        lambda spark, d: geometry.ohlc_bars(candles(spark, d), BARS, 1280, 720).select("key", "row", "x_center", "x_left", "x_right", "y_high", "y_low", "y_open", "y_close", "volume_start", "volume_end", "volume_height", F.col("bullish").cast("int").alias("bullish")),
+        f"""{placed} SELECT key, i AS row, {mid}::BIGINT AS x_center, trunc({mid} - slot * 0.4::DOUBLE)::BIGINT AS x_left, trunc({mid} + slot * 0.4::DOUBLE)::BIGINT AS x_right,
+    {', '.join(f'floor({int(720 * 0.7)} - ({c} - lo) / (hi - lo) * {int(720 * 0.7)})::BIGINT AS y_{c}' for c in ('high', 'low', 'open', 'close'))},
+    floor((i + 0.25::DOUBLE) * slot)::BIGINT AS volume_start, floor((i + 0.75::DOUBLE) * slot)::BIGINT AS volume_end, floor(volume / top::DOUBLE * 216)::BIGINT AS volume_height, (close >= open)::INT AS bullish FROM b""",
+    )
+    ALL["line_geometry"] = (
+        lambda spark, d: geometry.line(candles(spark, d), BARS, 1280, 720),
+        f"""{placed} SELECT key, i AS row, {mid}::BIGINT AS x, floor({int(720 * 0.7)} - (close - clo) / (chi - clo) * {int(720 * 0.7)})::BIGINT AS y, {x}::BIGINT AS volume_start, floor({x} + slot * 0.8::DOUBLE)::BIGINT AS volume_end, floor(volume / top::DOUBLE * 216)::BIGINT AS volume_height FROM b""",
+    )
+    ALL["grid_geometry"] = (
+        lambda spark, d: geometry.grid(candles(spark, d), BARS, 1280, 720),
+        f"""{TICKS_SQL}, a AS (SELECT key, count(*) AS n FROM hb GROUP BY key), h AS (SELECT key, unnest(range(1, 10)) AS i FROM a), v AS (SELECT key, n, unnest(range(0, n, greatest(1, n // 20))) AS i FROM a)
+SELECT key, 0::BIGINT AS x1, (i * {int(720 * 0.7)} // 10)::BIGINT AS y1, 1280::BIGINT AS x2, (i * {int(720 * 0.7)} // 10)::BIGINT AS y2 FROM h UNION ALL
+SELECT key, floor(i * (1280.0::DOUBLE / (n + 1)))::BIGINT, 0, floor(i * (1280.0::DOUBLE / (n + 1)))::BIGINT, {int(720 * 0.7)} FROM v""",
+    )
+    bricked = lambda spark, d: bricks.renko(candles(spark, d), BARS, 8.0)
+    renko = ALL["renko"][1].replace("median(y) * 0.75::DOUBLE AS box", "8.0::DOUBLE AS box")
+    ALL["renko_geometry"] = (
+        lambda spark, d: geometry.renko_boxes(bricked(spark, d), BARS, 8.0, 1280, 720).withColumn("direction", F.col("direction").cast("long")),
+        f"""WITH z AS ({renko}), b AS (SELECT *, 1280.0::DOUBLE / (count(*) OVER (PARTITION BY key) + 1) AS slot, min(price) OVER (PARTITION BY key) - 8 AS lo, max(price) OVER (PARTITION BY key) + 8 AS hi FROM z),
+c AS (SELECT *, floor(brick * slot + slot * 0.2::DOUBLE / 2)::BIGINT AS x_start, floor({int(720 * 0.7)} - (price - lo) / (hi - lo) * {int(720 * 0.7)})::BIGINT AS y_start, greatest(floor(8::DOUBLE / (hi - lo) * {int(720 * 0.7)}), 1)::BIGINT AS deep FROM b)
+SELECT key, brick, x_start, floor(x_start + slot * 0.8::DOUBLE)::BIGINT AS x_end, y_start, y_start + direction * deep AS y_end, direction FROM c""",
+    )
+    figure = ALL["point_and_figure"][1].replace("median(y) * 1::DOUBLE AS box", "8.0::DOUBLE AS box")
+    ALL["point_and_figure_geometry"] = (
+        lambda spark, d: geometry.point_and_figure_boxes(bricks.exploded(bricks.point_and_figure(candles(spark, d), BARS, 8.0), BARS), BARS, 8.0, 1280, 720),
+        f"""WITH z AS ({figure}), b AS (SELECT *, 1280.0::DOUBLE / (max("column") OVER (PARTITION BY key) + 2) AS slot, min(price) OVER (PARTITION BY key) - 8 AS lo, max(price) OVER (PARTITION BY key) + 8 AS hi FROM z)
+SELECT key, "column", position, type, floor(floor("column" * slot) + slot / 2)::BIGINT AS x_center, floor(720 - (price - lo) / (hi - lo) * 720)::BIGINT AS y_center, floor(slot * 0.8::DOUBLE)::BIGINT // 2 AS half_width, greatest(floor(8::DOUBLE / (hi - lo) * 720), 10)::BIGINT // 2 AS half_height FROM b""",
+    )
+
+    def by_table_function(spark: SparkSession, d: str) -> DataFrame:
+        tables.register(spark)
+        candles(spark, d).createOrReplaceTempView("barwright_candles")
+        made = spark.sql("SELECT * FROM renko(TABLE(SELECT key, ts, high, low, close FROM barwright_candles) PARTITION BY (key) ORDER BY (ts), 8.0D, 1)")
+        return made.select("key", "brick", _shown("price"), F.col("direction").cast("long").alias("direction"), "row")
+
+    ALL["renko_table_function"] = (by_table_function, renko)
+    enriched = ("atr", "rsi", "macd_line", "sma_5")
+    ALL["chart_indicators"] = (
+        lambda spark, d: _result(recipes.with_indicators(candles(spark, d), BARS, sma=(5,), panels=("rsi", "macd", "atr")), *enriched),
+        f"WITH x AS ({ALL['indicators_batch'][1]}), y AS ({ALL['multiple_averages'][1]}) SELECT key, t, atr, rsi, macd_line, sma_5 FROM x JOIN y USING (key, t)",
+    )
 
 
 _register_recipes()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DataValidationError
+from ..model import Series, without_nan
 
 OHLCV = ("open", "high", "low", "close", "volume")
 #: Columns of a trades file.
@@ -54,6 +55,29 @@ def candles(spark: SparkSession, data: DataFrame | pd.DataFrame | dict[str, Any]
     return df if "volume" in known else df.withColumn("volume", F.lit(1.0))
 
 
+def moving_average(spark: SparkSession, series: pd.Series, n: int, kind: str = "sma") -> pd.Series:
+    """A moving average of a pandas series, by the engine: kind is sma, ema, wma, hma, dema or tema. The index and its order stay."""
+    from ..registry import operator
+
+    if kind not in ("sma", "ema", "wma", "hma", "dema", "tema"):
+        raise DataValidationError(f"kind must be sma, ema, wma, hma, dema or tema, got {kind!r}")
+    values = pd.DataFrame({"at": range(len(series)), "close": series.to_numpy(dtype=float, na_value=float("nan"))})
+    if values.empty:
+        return pd.Series([], index=series.index, name=f"{kind}_{n}", dtype=float)
+    df = without_nan(spark.createDataFrame(values), "close")
+    made = operator(kind)(df, Series((), ("at",), None), n=n).orderBy("at").select(kind).toPandas()
+    return pd.Series(made[kind].to_numpy(dtype=float, na_value=float("nan")), index=series.index, name=f"{kind}_{n}")
+
+
+def excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
+    """A sheet of candles. pandas reads it, for which it needs a library for such files."""
+    try:
+        data = pd.read_excel(path, sheet_name=sheet)
+    except ImportError as e:
+        raise DataValidationError(f"no library for spreadsheets is installed: {e}") from e
+    return candles(spark, data)
+
+
 def ticks_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as ticks: key, ts, event_id, price, volume."""
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("price"), (F.col("user_id") % 10 + 1).alias("volume"))

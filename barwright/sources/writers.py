@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+from collections.abc import Iterator
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..charts.draw import save
+from ..charts.draw import checked_path, save
 
 
 def parquet(df: DataFrame, path: str, by: tuple[str, ...] = (), compression: str = "zstd", mode: str = "errorifexists") -> None:
@@ -15,6 +18,18 @@ def parquet(df: DataFrame, path: str, by: tuple[str, ...] = (), compression: str
     placed.write.mode(mode).partitionBy(*by).option("compression", compression).parquet(path)
 
 
-def images(charts: DataFrame, folder: str, form: str, keys: tuple[str, ...]) -> list[Path]:
-    """One file for each row of ``charts`` (keys, image) on the driver's disk, fetched row by row."""
-    return [save(bytes(r["image"]), f"{folder}/{'-'.join(str(r[k]).replace('/', '_') for k in keys) or 'chart'}.{form}") for r in charts.toLocalIterator()]
+def _file_name(row: dict[str, Any], keys: tuple[str, ...], form: str) -> str:
+    return f"{'-'.join(str(row[k]).replace('/', '_') for k in keys) or 'chart'}.{form}"
+
+
+def images(charts: DataFrame, folder: str, form: str, keys: tuple[str, ...], roots: tuple[str, ...] = ()) -> DataFrame:
+    """One file for each row of ``charts`` (keys, image), written by the tasks that draw it into a folder that they share. Gives keys and ``path``."""
+    checked_path(f"{folder}/chart", roots)  # errors now, not in a task
+    fields = [charts.schema[k] for k in keys]
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            paths = [str(save(bytes(r["image"]), f"{folder}/{_file_name(r, keys, form)}", roots)) for r in part.to_dict("records")]
+            yield part[list(keys)].assign(path=paths)
+
+    return charts.mapInPandas(write, StructType([*fields, StructField("path", StringType())]))

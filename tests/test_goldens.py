@@ -1,16 +1,18 @@
 """Hand-computed values and properties of the operators."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barwright import registry
 from barwright.charts import draw, geometry
 from barwright.charts.style import Style
 from barwright.errors import ConfigurationError, DataValidationError
-from barwright.functions import rowwise
+from barwright.functions import rowwise, tables
 from barwright.model import Series, without_nan
 from barwright.operators import bars, bricks, recursive, rolling, summaries, totals
 from barwright.plans import recipes
@@ -195,8 +197,14 @@ def test_errors_come_with_the_plan(spark):
         lambda: Style(theme="pink"),
         lambda: rowwise.rgba("#12"),
         lambda: draw.render({}, "pie"),
-        lambda: draw.checked_path("a/../b"),
+        lambda: draw.checked_path("../../../b"),
         lambda: draw.checked_path("/etc/x"),
+        lambda: draw.checked_path("/tmp/x", ("/srv/charts",)),
+        lambda: draw.render({c: np.empty(0) for c in ("open", "high", "low", "close")}, speed="slow"),
+        lambda: recipes.charts(df, S, panels=("tea",)),
+        lambda: Style.from_settings({"colour": "#fff"}),
+        lambda: registry.apply("tea", df, S),
+        lambda: registry.apply("sma", df, S, m=3),
         lambda: draw.checked_path(""),
     ):
         with pytest.raises(ConfigurationError):
@@ -227,8 +235,57 @@ def test_charts(kind):
     assert draw.render(rows, kind, "svgz", Style(400, 300, fill_area=True))[:2] == b"\x1f\x8b"
 
 
+def test_overlays_panels_and_arrays():
+    rng = np.random.default_rng(4)
+    c = 100 + np.cumsum(rng.normal(0, 2, 60))
+    rows = {"open": c + 0.5, "high": c + 1.5, "low": c - 1.5, "close": c}
+    gappy = np.where(np.arange(60) < 10, np.nan, c)
+    panel = draw.Panel({"rsi": np.clip(c, 0, 100)}, levels=(30.0, 70.0), bounds=(0.0, 100.0))
+    plain = draw.render(rows, "candle", "svg", Style(400, 300, show_volume=False)).decode()
+    made = draw.render(rows, "candle", "svg", Style(400, 300, show_volume=False), overlays={"sma": gappy}, panels=[panel, draw.Panel({}, c - 100)]).decode()
+    assert made.count("<line ") - plain.count("<line ") == 49 + 1 + 2 + 59 + 1
+    assert made.count("<rect ") - plain.count("<rect ") == 60
+    pixels = draw.to_array(rows, "candle", Style(400, 300), overlays={"sma": gappy}, panels=[panel])
+    assert pixels.shape == (300, 400, 3) and pixels.dtype == np.uint8 and len(np.unique(pixels.reshape(-1, 3), axis=0)) > 5
+    small, large = (len(draw.render(rows, style=Style(400, 300), speed=x)) for x in ("best", "fast"))
+    assert small <= large
+    with pytest.raises(ConfigurationError):
+        draw.render(rows, "renko", overlays={"sma": gappy})
+
+
+def test_registry(spark):
+    df = frame(spark, close=[1.0, 2, 3, 4], high=[2.0, 3, 4, 5], low=[0.0, 1, 2, 3], volume=[1.0, 1, 1, 1], open=[1.0, 2, 3, 4])
+    assert len(registry.OPERATORS) > 40
+    for name, o in registry.OPERATORS.items():
+        needed = {n: {"window": 2, "timeframe": "1d", "size": 2, "anchor": "close", "span": 2, "n": 2, "x": "close", "amount": 1.0}[n] for n, v in o.parameters.items() if v is registry.inspect.Parameter.empty}
+        if o.kind != "bars":
+            made = o(df, S, **needed)
+            assert set(o.outputs) <= set(made.columns), name
+    with pytest.raises(DataValidationError, match="5 rows are needed, a series has 4"):
+        registry.apply("sma", df, S, strict=True, n=5)
+    assert [r["sma"] for r in registry.apply("sma", df, S, strict=True, n=4).orderBy("idx").collect()] == [None, None, None, 2.5]
+
+
+def test_pandas_series(spark):
+    x = pd.Series([1.0, 2, np.nan, 4, 5, 6], index=list("abcdef"))
+    made = readers.moving_average(spark, x, 2)
+    assert list(made.index) == list(x.index) and np.allclose(made, x.rolling(2).mean(), equal_nan=True)
+    assert readers.moving_average(spark, x[:0], 2, "ema").empty
+    with pytest.raises(DataValidationError):
+        readers.moving_average(spark, x, 2, "tea")
+
+
+def test_table_functions(spark):
+    tables.register(spark)
+    p = [100.0, 101, 102.5, 102, 100, 99]
+    spark.createDataFrame(pd.DataFrame({"k": "a", "ts": pd.date_range("2025-01-01", periods=6, freq="s", tz="UTC"), "price": p, "volume": 1.0})).createOrReplaceTempView("ticks_of_a")
+    made = spark.sql("SELECT key, unix_micros(ts) AS t, open, high, low, close, volume FROM range_bars(TABLE(ticks_of_a) PARTITION BY (k) ORDER BY (ts), 2.0D)").collect()
+    whole = bars.range_bars(spark.table("ticks_of_a"), Series(("k",), ("ts",)), 2.0).selectExpr("k", "unix_micros(ts)", "open", "high", "low", "close", "volume").collect()
+    assert sorted(map(tuple, made)) == sorted(map(tuple, whole)) and len(made) == 3
+
+
 def test_charts_by_series(spark, tmp_path):
     df = spark.createDataFrame(pd.DataFrame({"k": ["a"] * 5 + ["b"] * 5, "idx": list(range(5)) * 2, "open": 1.0, "high": 2.0, "low": 0.5, "close": 1.5, "volume": 3.0}))
     made = recipes.charts(df, Series(("k",), ("idx",), None), "svg")
-    paths = writers.images(made, str(tmp_path / "out"), "svg", ("k",))
-    assert sorted(p.name for p in paths) == ["a.svg", "b.svg"] and all(p.stat().st_size for p in paths)
+    paths = [r["path"] for r in writers.images(made, str(tmp_path / "out"), "svg", ("k",)).collect()]
+    assert sorted(os.path.basename(p) for p in paths) == ["a.svg", "b.svg"] and all(os.path.getsize(p) for p in paths)
