@@ -212,9 +212,26 @@ def test_near_copies_against_brute_force(spark, block):
     assert any(sets[i] != sets[j] for i, j in linked)
     docs = documents(spark, [(*r, None, None) for r in rows])
     want = plain_components(list(sets), linked)
-    assert {r["doc_id"]: r["component_id"] for r in near.components(docs, block).collect()} == want
+    assert {r["doc_id"]: r["component_id"] for r in near.components(docs, simhash.links, block).collect()} == want
     assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == {i for i in want if want[i] == i}
-    assert near.components(docs.where("doc_id < 0")).count() == 0
+    assert near.components(docs.where("doc_id < 0"), simhash.links).count() == 0
+
+
+def test_bounds_of_common_shingles_hold():
+    """Sketches never rule out sets that are near, whatever their sizes, and rule out most that are not."""
+    rng = np.random.default_rng(3)
+    ruled = 0
+    for n in (1, 5, 60, 200, 900, 1500, 5000):
+        for share in (0.5, 0.75, 0.89, 0.9, 0.95, 1.0):
+            common = rng.integers(0, 1 << 64, int(n * share), dtype=np.uint64)
+            a, b = (np.unique(np.concatenate((common, rng.integers(0, 1 << 64, n - len(common) + k, dtype=np.uint64)))) for k in (0, n // 20))
+            close = near.are_near(a, b)
+            may = near.may_be_near(near.wide(a), near.wide(b))
+            sketches = [np.frombuffer(near.sketch(x), "u1")[None, :] for x in (a, b)]
+            assert may or not close
+            assert near._reach(*sketches, len(a), len(b)).all() or not close
+            ruled += not may and not close
+    assert ruled >= 12
 
 
 def test_stage_keeps_distinct_texts_of_one_id(spark):
@@ -245,6 +262,21 @@ def test_embeddings_against_brute_force(spark):
     assert embed.links(df.where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("size, big", [(4, 8192), (64, 8192), (64, 300), (384, 8192)])
+def test_recall_of_embeddings_at_the_constants_in_use(spark, size, big):
+    """6,000 vectors in one label, groups of near ones about the threshold: links found of those that brute force finds; leaves split on as well."""
+    rng = np.random.default_rng(size)
+    centres = rng.normal(size=(1500, size))
+    rows = np.repeat(centres, 4, axis=0) + rng.normal(scale=0.13, size=(6000, size)) * np.linalg.norm(np.repeat(centres, 4, axis=0), axis=1, keepdims=True) / np.sqrt(size)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = np.array([r["n_links"] for r in embed.links(df, big=big).orderBy("vec_id").collect()])
+    assert want.sum() > 2000 and (got <= want).all()
+    print(f"recall {got.sum() / want.sum():.5f} of {want.sum()} links, {size} wide, leaves to {big}")
+    assert got.sum() >= 0.99 * want.sum()
+
+
 # -- passages
 
 
@@ -296,7 +328,6 @@ def test_decontamination(spark):
     ]
     said = {(r["doc_id"], r["item_id"]) for r in decontam.scan(documents(spark, [(*r, None, None) for r in rows]), bench).collect()}
     assert said == {(1, 1), (2, 1), (3, 1), (9, 1)}
-    assert {(r["doc_id"], r["item_id"]) for r in decontam.scan(documents(spark, [(*r, None, None) for r in rows]), bench, block_chars=40).collect()} == said
     assert sorted(r["doc_id"] for r in decontam.clean(documents(spark, [(*r, None, None) for r in rows]), bench).collect()) == [4, 5, 6, 7, 8]
     assert decontam.scan(documents(spark, [(*r, None, None) for r in rows]), bench.where("item_id < 0")).count() == 0
 
@@ -336,6 +367,52 @@ def test_decontamination_compares_numbers(spark):
     assert reported(spark, [item, item.replace("3", "8"), other], [item]) == {(0, 0), (1, 0)}
 
 
+def test_decontamination_is_consistent_both_ways(spark):
+    names = "Anna met Bob at the old mill where Anna gave Bob the letter and Bob read the letter to Anna"
+    fruit = "Tom had 3 apples in one bag and 3 pears in the other bag so that Tom kept 6 fruits"
+    texts = [
+        names.replace("Anna", "Carl").replace("Bob", "Dora"),
+        names.replace("Anna", "Carl").replace("Bob", "Carl"),
+        fruit.replace("3", "4").replace("6", "8").replace("Tom", "Ann"),
+        fruit.replace("3 apples", "4 apples").replace("3 pears", "9 pears").replace("6", "2"),
+    ]
+    assert reported(spark, texts, [names, fruit]) == {(0, 0), (2, 1)}
+
+
+def test_decontamination_of_short_items(spark):
+    """An item of under five words is held where all of it stands, as words."""
+    texts = ["and then who wrote Hamlet, they asked", "who wrote King Lear", "wrote Hamlet", "Who Wrote Ulysses ?", "so\nwho ... wrote HAMLET!"]
+    assert reported(spark, texts, ["Who wrote Hamlet ?", "?!", "", None]) == {(0, 0), (4, 0)}
+
+
+def test_decontamination_of_made_variants(spark):
+    """Items of random words with slots: copies with other slots are reported if, and only if, slots keep to one value both ways."""
+    rng = np.random.default_rng(9)
+    items, texts, want = [], [], set()
+    for n in range(25):
+        form = [f"w{x}" for x in rng.integers(0, 400, 24)]
+        slots = {int(k): f"{'NPQ'[i % 3]}ame{i % 3}" if i % 2 else str(10 + i % 3) for i, k in enumerate(rng.choice(24, 10, replace=False))}
+        items.append(" ".join(slots.get(i, w) for i, w in enumerate(form)))
+        values = sorted(set(slots.values()))
+        fresh = {v: (f"X{'abc'[i % 3]}{n}" if v[0].isalpha() else str(500 + i)) for i, v in enumerate(values)}
+        one = {v: ("Xone" if v[0].isalpha() else "7") for v in values}
+        for kind in ("copy", "renamed", "merged", "loose"):
+            held = {i: {"copy": v, "renamed": fresh[v], "merged": one[v], "loose": f"Y{i}" if v[0].isalpha() else str(900 + i)}[kind] for i, v in slots.items()}
+            if kind in ("copy", "renamed"):
+                want.add((len(texts), n))
+            texts.append("before it stand other words " + " ".join(held.get(i, w) for i, w in enumerate(form)) + " and after it too")
+    assert reported(spark, texts, items) == want
+
+
+def test_decontamination_of_awkward_tables(spark):
+    long = "filler " * 60000 + ITEM + " tail" * 60000
+    docs = spark.createDataFrame([("a", long, 1, "x"), ("a", long, 1, "x"), ("a", "other", 1, "x"), (None, ITEM, 1, "x"), ("b", None, None, None), ("c", "", 0, "y")], "doc_id string, text string, item int, row string")
+    bench = spark.createDataFrame([("q1", ITEM, 3), ("q1", ITEM, 4), (None, ITEM, 1), ("q2", None, 1)], "item_id string, text string, n int")
+    said = {(r["doc_id"], r["item_id"]) for r in decontam.scan(docs, bench).collect()}
+    assert said == {(d, i) for d in ("a", None) for i in ("q1", None)}
+    assert sorted((r["doc_id"] or "-", r["item"]) for r in decontam.clean(docs, bench).select("doc_id", "item").collect()) == [("-", 1), ("b", None), ("c", 0)]
+
+
 def test_decontamination_against_brute_force(spark, whole):
     bench = pd.read_parquet(f"{SF}/benchmark.parquet")
     said = {(r["doc_id"], r["item_id"]) for r in queries.op3_decontamination(spark, SF).collect()}
@@ -376,6 +453,19 @@ def test_forward_sums_all_segmentations():
     for w, row in zip(words, got):
         assert np.allclose(row, [np.log(total("▁" + w, n)) for n in (0, 1)])
 
+    def long_total(word, n):
+        """The same sum, step by step in whole numbers' logarithms, for words of any length."""
+        logs = [0.0]
+        for j in range(1, len(word) + 1):
+            parts = [logs[j - 1] + np.log(langid.FALLBACK)]
+            parts += [logs[j - k] + np.log(model.table[known[word[j - k : j]], n]) for k in range(1, min(j, 40) + 1) if word[j - k : j] in known]
+            logs.append(np.logaddexp.reduce(parts))
+        return logs[-1]
+
+    words = ["donaudampfschifffahrtsgesellschaftskapitaenswitwe" * 9, "字" * 700, "x" * 33, "the"]
+    for w, row in zip(words, scorer.word_scores(words)):
+        assert np.allclose(row, [long_total("▁" + w, n) for n in (0, 1)])
+
 
 def test_language_accuracy(spark, whole):
     said = queries.op5_language(spark, SF).toPandas().merge(whole, on="doc_id")
@@ -399,6 +489,20 @@ def test_language_on_awkward_input(spark):
     assert {r["lang_pred"] for r in langid.scan(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_stage_rejects_what_is_no_language(spark):
+    """Learned from the table's four languages: other scripts and languages, noise and letterless texts go, prose and its like stay."""
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    noise = " ".join("".join(rng.choice(letters, 7)) for _ in range(40))
+    bad = ["Это русский текст о погоде и природе", "これは日本語の文章です", noise, "W dzisiejszych czasach każdy człowiek potrzebuje odpoczynku", "ÃÂ©ÃÂ¨Ã Â§Ã¢ÂÂ ÃÂ©ÃÂ", "12 34 !!", "", None]
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    more = spark.createDataFrame([(10**6 + i, t, None, "x") for i, t in enumerate(bad)], base.schema)
+    kept = {r["doc_id"] for r in langid.accepted(base.unionByName(more)).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in base.select("doc_id").collect()}
+    said = {r["doc_id"]: r["fluency"] for r in langid.scan(base.unionByName(more)).where("doc_id >= 1000000").collect()}
+    assert all(said[10**6 + i] < langid.LEAST_FLUENT for i in range(5)) and said[10**6 + 5] is None
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     said = toxicity.scan(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
@@ -420,6 +524,36 @@ def test_toxicity_folds_disguises_and_knows_exceptions(spark):
     assert {r["score"] for r in toxicity.scan(docs, labels.where("doc_id < 0")).collect()} == {0.0}
 
 
+def test_toxicity_folds_digits_and_signs_next_to_letters_only():
+    assert toxicity.fold("455 1337 100 4 5 !! $$ 3.4") == " "  + " "
+    assert toxicity.fold("$hit @ss a$$ b1tch wow! sh!t 5exy no1 | x") == " shit ass ass bitch wow shit sexy noi x "
+    assert toxicity.fold(None) == toxicity.fold("") == "  "
+
+
+def test_toxicity_features_against_brute_force(spark):
+    """The automaton's matches, exceptions and lengths against plain loops over words and terms."""
+    rng = np.random.default_rng(7)
+    letters = list("abcde")
+    word = lambda: "".join(rng.choice(letters, rng.integers(1, 7)))
+    terms = {word() + (" " if rng.random() < 0.4 else ""): float(rng.uniform(0.5, 3)) for _ in range(40)}
+    terms["abcdeabcdeabcdeabcde "] = 2.5
+    texts = [" ".join(word() for _ in range(rng.integers(0, 30))) for _ in range(400)] + ["abcdeabcdeabcdeabcde", "abcdeabcdeabcdeabcdea", None, ""]
+    exceptions = frozenset(" ".join(p) for t in texts[:60] if t for p in zip(t.split(), t.split()[1:]))
+    lexicon = toxicity.Lexicon(terms, exceptions, (-1.0, 0.5, 0.25))
+    for t in texts:
+        words = (t or "").split()
+        hits = {}
+        for i, w in enumerate(words):
+            weight = max([x for k, x in terms.items() if (w == k[:-1] if k.endswith(" ") else w.startswith(k))], default=0.0)
+            around = {" ".join(words[i - 1 : i + 1])} if i else set()
+            around |= {" ".join(words[i : i + 2])} if i + 1 < len(words) else set()
+            if weight and not around & exceptions:
+                hits[i] = weight
+        a = np.log1p(sum({words[i]: x for i, x in hits.items()}.values()))
+        b = np.log1p(100 * sum(hits.values()) / (len(words) + 21)) if hits else 0.0
+        assert lexicon.score(t) == pytest.approx(1 / (1 + np.exp(1.0 - 0.5 * a - 0.25 * b)))
+
+
 # -- tokens and mixing
 
 
@@ -439,10 +573,53 @@ def test_tokens_round_trip(spark):
     assert tokens.scan(docs.where("doc_id = 77")).count() == 0
 
 
+def test_token_file_is_opened_by_its_path(spark, tmp_path, whole):
+    docs = documents(spark, [(i, t, None, None) for i, t in zip(whole["doc_id"], whole["text"])][:150])
+    path = f"file://{tmp_path}/corpus"
+    said = sorted(map(tuple, tokens.write(docs, path).read().collect()))
+    again = tokens.TokenFile(spark.newSession(), path)
+    assert sorted(map(tuple, again.read().collect())) == said and len(said) == 150
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert again.read_one(int(whole["doc_id"][3])) == [plain.encode(whole["text"][3], add_special_tokens=False).ids + [1]]
+    with pytest.raises(ValueError, match="another dictionary"):
+        tokens._Unpacker(b"something else, not the file's own", again.name)
+
+
+def test_tokens_of_other_vocabularies(spark):
+    """Another tokenizer joins words with spaces; the short way gives other ids, and is not taken."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokens.Encoder(tokens.default_path()).parted and not tokens.Encoder(path).parted
+    texts = ["Hello there,  world", "", None, "don't  stop\n\nnow"]
+    plain = Tokenizer.from_file(path)
+    file = tokens.write(documents(spark, [(i, t, None, None) for i, t in enumerate(texts)]), path_of=lambda: path)
+    assert [file.read_one(i) for i in range(4)] == [[plain.encode(t or "", add_special_tokens=False).ids + [1]] for t in texts]
+
+
+def test_parts_of_words_give_the_tokenizers_ids():
+    """Texts put together at random from awkward parts, whole and by parts, with a memory that forgets."""
+    rng = np.random.default_rng(5)
+    pool = [*" \t\n\r\x0b\x0c", "'", "'s", "'T", "’s", "don", "É", "é", "e\u0301", "\u0301", "ñ", "×", "÷", "ÿ", "ß", "İ", "Σ", "ς", "ﬁ", "ſ", "K", "1", "²", "Ⅷ", "①", "字", "한", "\u1112\u1161", "“", "”", "…", ".", ",", "!?", "--", "_", "<|", "|>", "<|endoftext|>", "<|EndOfText|>", "The", "abc", "XYZ", "\u200d", "\U0001f600", "\xa0", "\u3000", "\x00", "µ", "ª"]
+    texts = ["".join(rng.choice(pool, rng.integers(0, 30))) for _ in range(4000)]
+    encoder = tokens.Encoder(tokens.default_path())
+    plain = [e.ids + [1] for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    import pyarrow as pa
+
+    for memo in (tokens.MEMO, 50):
+        tokens.MEMO, kept = memo, tokens.MEMO
+        try:
+            assert [x.tolist() for x in encoder.encode(pa.array(texts))] == plain
+        finally:
+            tokens.MEMO = kept
+
+
 def test_tokens_in_order(spark, whole):
     said = queries.op6_tokens(spark, SF).toPandas().sort_values("doc_id")
     assert len(said) == len(whole)
     assert (said["start"].to_numpy() == np.append(0, said["n_tokens"].cumsum().to_numpy()[:-1])).all()
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = [np.array(plain.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for t in whole.sort_values("doc_id")["text"]]
+    assert said["ids_crc32"].tolist() == [zlib.crc32(x.tobytes()) for x in ids]
+    assert said["n_tokens"].tolist() == list(map(len, ids))
 
 
 def plain_targets(sizes, weights, budget):
@@ -482,6 +659,8 @@ def test_mixing_meets_its_targets(spark):
     words = made.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
     assert abs(words - 1.5 * sum(sizes.values())) < 5 * 40
     assert mixing.mix(docs.where("doc_id < 0")).count() == 0
+    plan = mixing.mix(docs)
+    assert plan.where("taken > 0 and taken < size").count() <= len(names)  # the mix is cut within one document of each source
 
 
 @pytest.mark.parametrize("scan", [secrets.scan, pii.scan, mixing.scan, simhash.scan, langid.scan, tokens.scan])
