@@ -15,6 +15,7 @@ result row; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from . import near
 from .blocks import Forest, deal, groups
 from .common import Staged
 from .components import connected_components
+from .words import sliced
 
 SEED, RADIUS, BLOCK = 42, 2, 4096
 PAIRS = ((0, 16), (0, 32), (0, 48), (16, 32), (16, 48), (32, 48))
@@ -52,7 +54,7 @@ def fingerprint(raw: bytes | None, width: int = 3) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in chain.from_iterable(map(sliced, batches)):
         texts = batch.column("text").cast(pa.binary())
         found = np.fromiter((fingerprint(t.as_py()) for t in texts), "u8", batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view("i8"))], ["doc_id", "fp"])
@@ -144,11 +146,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one of each component of near copies (see ``near``): that of the smallest doc_id. Rows without a doc_id stay.
+    """The rows of ``docs`` with one of each component of near copies: that of the smallest doc_id. Rows without a doc_id stay.
 
-    Two bits, the radius of ``scan``, hold few near copies beyond exact ones, so the stage goes by similarity itself.
+    Near are five-word shingle sets of a Jaccard similarity of 0.8 or more. Fingerprints of them are linked by the trees of
+    ``links`` and confirmed on the sets. Two bits hold few of the near copies beyond exact ones, so ``near`` completes
+    the components by the shingles themselves.
     """
-    best = near.components(docs).groupBy("component").agg(F.min(F.struct("doc_id", "print")).alias("best"))
+    best = near.components(docs, links).groupBy("component").agg(F.min(F.struct("doc_id", "print")).alias("best"))
     kept = best.select("best.doc_id", F.col("best.print").alias("_barwright_print"))
     named = docs.where("doc_id is not null").withColumn("_barwright_print", F.xxhash64("text"))
     again = Window.partitionBy("doc_id", "_barwright_print").orderBy(F.xxhash64(*docs.columns))
