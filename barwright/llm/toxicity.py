@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, matched by an Aho-Corasick automaton on folded text.
 
-Folding undoes disguises: case, accents and other marks, homoglyphs, digits and signs that stand for letters.
-The lexicon is learned on labelled training rows: beginnings of words (and whole words) that stand in toxic documents far
-oftener than in others, weighted by their log odds. Pairs of words that hold a lexicon word but
+Folding undoes disguises: case, accents and other marks, homoglyphs, and digits and signs that stand for letters, which they
+do next to letters only. The lexicon is learned on labelled training rows: beginnings of words (of ``LONGEST`` letters at
+most) and whole words of any length that stand in toxic documents far oftener than in others, weighted by their log odds;
+all of them, which the rows learned from bound. Pairs of words that hold a lexicon word but
 stand in harmless documents are exceptions and cancel the match. The matched weights are normalised by
 length and turned into a probability by a logistic fit on the training rows.
 
@@ -18,6 +19,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Staged
+from .words import sliced
 
-#: Labelled rows to fit on, at most in expectation (chosen by a hash), and lexicon entries at most.
-FIT_ROWS, ENTRIES = 16_000, 4_000
+#: Labelled rows to fit on, at most in expectation (chosen by a hash).
+FIT_ROWS = 16_000
 SHORTEST, LONGEST, LEAST_DOCS, LEAST_ODDS, EXCEPTION_DOCS = 3, 14, 4, 1.5, 3
 #: Terms that a task counts before it gives them out.
 HELD = 300_000
-#: Letters of other scripts and digits that pass for Latin letters, and signs that do within a word.
-LOOKALIKES = dict(zip("013457аеорсхуіјѕԁһкмтвαεικνορτυχ", "oieastaeopcxyijsdhkmtbaeiknoptux"))
-SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l"}
-DISGUISED = re.compile(r"(?<=[^\W\d_])[@$!|](?=[^\W\d_])")
+#: Letters of other scripts that pass for Latin letters, and digits and signs that do next to letters; at the end of a word only some.
+LOOKALIKES = dict(zip("аеорсхуіјѕԁһкмтвαεικνορτυχ", "aeopcxyijsdhkmtbaeiknoptux"))
+SIGNS = str.maketrans("013457@$!|", "oieastasil")
+LAST_SIGNS = str.maketrans("013457@$", "oieastas")
+DISGUISED = re.compile(r"[0-9@$!|]+")
 
 
 def held_out() -> Column:
@@ -62,11 +66,18 @@ class _Fold(dict):
 FOLDS = (_Fold(False), _Fold(True))
 
 
+def _undisguised(found: re.Match) -> str:
+    text, start, end = found.string, found.start(), found.end()
+    if end < len(text) and text[end].isalpha():
+        return found[0].translate(SIGNS)
+    if start and text[start - 1].isalpha():
+        return found[0].translate(LAST_SIGNS)
+    return found[0]
+
+
 def fold(text: str | None, bare: bool = True) -> str:
     """Folded words, each after one space, and a space at the end."""
-    text = text or ""
-    if any(sign in text for sign in SIGNS):
-        text = DISGUISED.sub(lambda m: SIGNS[m[0]], text)
+    text = DISGUISED.sub(_undisguised, text or "")
     return " " + " ".join(text.translate(FOLDS[bare]).split()) + " "
 
 
@@ -84,7 +95,7 @@ def _counted(counts: dict[str, list[int]]) -> pa.RecordBatch:
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many toxic and other documents have a word that begins so, and how many words do; a trailing space marks a whole word. Partial counts, given out whenever a task holds ``HELD`` terms."""
     counts: dict[str, list[int]] = {}
-    for batch in batches:
+    for batch in chain.from_iterable(map(sliced, batches)):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             seen: Counter = Counter()
             # a word counts up to three times in a document, so that repeated lines do not outweigh others
@@ -93,8 +104,7 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = min(n, 3)
                 for k in range(SHORTEST, min(LONGEST, len(w)) + 1):
                     seen[w[:k]] += n
-                if len(w) <= LONGEST:
-                    seen[w + " "] += n
+                seen[w + " "] += n
             seen[""] += sum(min(n, 3) for n in words.values())
             for term, n in seen.items():
                 row = counts.setdefault(term, [0, 0, 0, 0])
@@ -163,7 +173,7 @@ class Lexicon:
 
 def _pairs(lexicon: Lexicon):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(sliced, batches)):
             counts: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 for term in {p for folded in views(text) for at in lexicon.matches(folded) for p in lexicon.pairs(folded, at)}:
@@ -176,7 +186,7 @@ def _pairs(lexicon: Lexicon):
 
 def _features(lexicon: Lexicon):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(sliced, batches)):
             found = [lexicon.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], ["toxic", "a", "b"])
 
@@ -196,7 +206,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return tuple(map(float, w))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, entries: int = ENTRIES) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out())
     share = int(min(1.0, rows / max(known.count(), 1)) * (1 << 30))
     chosen = known.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 30)) < share).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -212,10 +222,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, entries: int =
     odds = lambda a, b, m, n: F.log((F.col(a) + 0.5) / (m + 1.0)) - F.log((F.col(b) + 0.5) / (n + 1.0))
     terms = terms.where("term != ''").withColumn("odds", odds("bad_uses", "good_uses", words["bad_uses"], words["good_uses"]))
     terms = terms.where((F.col("bad") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS) & (odds("bad", "good", bad, good) >= LEAST_ODDS))
-    best = terms.orderBy(F.desc(F.col("odds") * F.log1p("bad")), "term").limit(entries).collect()
-    lexicon = Lexicon({r["term"]: r["odds"] for r in best})
+    # as many as the rows learned from can hold
+    lexicon = Lexicon({r["term"]: r["odds"] for r in terms.orderBy("term").collect()})
     common = summed(held.mapInArrow(_pairs(lexicon), count)).where((F.col("good") >= EXCEPTION_DOCS) & (F.col("good") * bad > 10 * F.col("bad") * good))
-    lexicon.exceptions = frozenset(r["term"] for r in common.orderBy(F.desc("good"), "term").limit(entries).collect())
+    lexicon.exceptions = frozenset(r["term"] for r in common.collect())
     lexicon._automaton = None
     points = held.mapInArrow(_features(lexicon), "toxic int, a double, b double").toPandas()
     lexicon._automaton = None
@@ -225,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, entries: int =
 
 def _scorer(lexicon: Lexicon):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(sliced, batches)):
             scores = np.array([lexicon.score(t) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.7).astype("i4"))], ["doc_id", "held_out", "score", "predicted"])
 
