@@ -21,6 +21,7 @@ reported once for each pair of ids; an empty table on either side gives an empty
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -46,7 +47,7 @@ EDGES = "\"'`.,;:!?()[]{}<>*_~|…“”‘’«»¿¡"
 NUM, UNIT, NAME = "\0n", "\0u", "\0p"
 SLOTS = (NUM, UNIT, NAME)
 #: Words whose forms a task remembers.
-MEMO = 200_000
+MEMO = 600_000
 #: Share of the item's words, numbers apart, that an occurrence keeps as they are (two at least): slots alone are of one form in many texts.
 KEPT = 0.2
 #: Matches of windows looked at together.
@@ -79,39 +80,55 @@ def _code(form: str) -> int:
     return xxhash.xxh64_intdigest(form.encode())
 
 
-class _Coder(dict):
-    """Hash of a raw word -> a column of ``table``: literal and template hash, whether it is a number, a unit, a word at all."""
+class _Coder:
+    """Raw words by their hash, sorted, and in ``table`` for each: literal and template hash, what it is (``PLAIN``, ``NO_WORD``, a number or a unit), when it was last met."""
+
+    PLAIN, NO_WORD, IS_NUM, IS_UNIT = range(4)
 
     def __init__(self):
-        self.table = np.empty((5, 1 << 16), "u8")
+        self.known, self.table, self.tick = np.empty(0, "u8"), np.empty((4, 0), "u8"), 0
         self.powers = Powers()
-        self.unit = np.uint64(_code(UNIT))
+        self.slots = {slot: _code(slot) for slot in SLOTS}
+
+    @staticmethod
+    @functools.lru_cache(maxsize=1)
+    def of_process() -> _Coder:
+        """The process's coder; what it knows of words serves the next task."""
+        return _Coder()
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        rows, at = [], len(self)
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        rows = []
         for raw in words:
             literal, template = _forms(raw)
-            rows.append((_code(literal), _code(template), template == NUM, literal in UNITS, literal != ""))
-        self.update(zip(hashes, range(at, at + len(hashes))))
-        while len(self) > self.table.shape[1]:
-            self.table = np.concatenate((self.table, np.empty_like(self.table)), axis=1)
-        self.table[:, at : len(self)] = np.array(rows, "u8").T
+            code = _code(literal)
+            kind = self.NO_WORD if not literal else self.IS_NUM if template == NUM else self.IS_UNIT if literal in UNITS else self.PLAIN
+            rows.append((code, self.slots.get(template, code), kind, self.tick))
+        place = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, place, hashes)
+        self.table = np.insert(self.table, place, np.array(rows, "u8").T, axis=1)
 
     def channels(self, portion: Portion) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Literal and template hashes of the words of all texts, and the text of each."""
-        if len(self) > MEMO:
-            self.clear()
+        self.tick += 1
+        if len(self.known) > MEMO:
+            kept = self.table[3] > np.median(self.table[3])
+            self.known, self.table = self.known[kept], self.table[:, kept]
         distinct, first, inverse = np.unique(portion.hashes, return_index=True, return_inverse=True)
-        known = distinct.tolist()
-        if fresh := [n for n, h in enumerate(known) if h not in self]:
-            self._learn([known[n] for n in fresh], portion.words_at(first[fresh]))
-        codes = np.fromiter(map(self.__getitem__, known), np.int64, len(known))[inverse]
-        literal, template, number, unit, word = self.table[:, codes]
+        at = np.searchsorted(self.known, distinct)
+        new = at == len(self.known)
+        new[~new] = self.known[at[~new]] != distinct[~new]
+        if new.any():
+            self._learn(distinct[new], portion.words_at(first[new]))
+            at = np.searchsorted(self.known, distinct)
+        self.table[3, at] = self.tick
+        codes = at[inverse]
+        literal, template, kind = (row[codes] for row in self.table[:3])
         text = np.repeat(np.arange(len(portion.counts)), portion.counts)
-        kept = word == 1
-        literal, template, number, unit, text = (x[kept] for x in (literal, template, number, unit, text))
-        after = np.flatnonzero((unit[1:] == 1) & (number[:-1] == 1) & (text[1:] == text[:-1])) + 1
-        template[after] = self.unit
+        if (kind == self.NO_WORD).any():
+            kept = kind != self.NO_WORD
+            literal, template, kind, text = literal[kept], template[kept], kind[kept], text[kept]
+        after = np.flatnonzero((kind[1:] == self.IS_UNIT) & (kind[:-1] == self.IS_NUM) & (text[1:] == text[:-1])) + 1
+        template[after] = self.slots[UNIT]
         return literal, template, text
 
 
@@ -148,10 +165,10 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _found(known: BitMap, widths: list[int]):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _Coder()
+        coder = _Coder.of_process()
         for batch in batches:
             rows = batch.column("row").to_numpy()
-            for portion in portions(batch.column("text"), coder.powers):
+            for portion in portions(batch.column("text"), coder.powers, most=1 << 20):
                 literal, template, text = coder.channels(portion)
                 for width in widths:
                     for channel, words in enumerate((literal, template) if width == WINDOW else (literal,)):

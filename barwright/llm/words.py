@@ -84,14 +84,15 @@ def sliced(batch: pa.RecordBatch, most: int = PORTION) -> Iterator[pa.RecordBatc
         yield batch.slice(first, count)
 
 
-def spans(texts: pa.Array, prepare: Callable[[pa.Array], pa.Array] | None = None, most: int = PORTION) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """A column of strings in portions of about ``most`` bytes, each made ready by ``prepare``: row of the first text,
-    all bytes, where texts begin and end in them, and starts and ends of words. Null is empty."""
+def spans(texts: pa.Array, prepare: Callable[[pa.Array], pa.Array] | None = None, most: int = PORTION, swap: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """A column of strings in portions of about ``most`` bytes, each made ready by ``prepare``, and its bytes by ``swap`` (256 values): row
+    of the first text, all bytes, where texts begin and end in them, and starts and ends of words. Null is empty."""
     for first, count in cuts(texts, most):
         held = texts.slice(first, count)
         held = (prepare(held) if prepare else held).cast(pa.large_binary()).fill_null(b"")
         bounds = np.frombuffer(held.buffers()[1], "<i8")[held.offset : held.offset + count + 1]
         part, bounds = np.frombuffer(held.buffers()[2] or b"", "u1")[bounds[0] : bounds[-1]], bounds - bounds[0]
+        part = part if swap is None else swap[part]
         solid = ~SPACE[part]
         edge = np.zeros(len(part) + 1, bool)
         edge[bounds] = True  # a word never goes from one text to the next
@@ -100,8 +101,8 @@ def spans(texts: pa.Array, prepare: Callable[[pa.Array], pa.Array] | None = None
         yield first, part, bounds, starts, ends
 
 
-def portions(texts: pa.Array, powers: Powers, prepare: Callable[[pa.Array], pa.Array] | None = None) -> Iterator[Portion]:
+def portions(texts: pa.Array, powers: Powers, prepare: Callable[[pa.Array], pa.Array] | None = None, most: int = PORTION) -> Iterator[Portion]:
     """The words of a column of strings, in portions as in ``spans``."""
-    for first, part, bounds, starts, ends in spans(texts, prepare):
+    for first, part, bounds, starts, ends in spans(texts, prepare, most):
         counts = np.diff(np.searchsorted(starts, bounds))
         yield Portion(first, part, counts, starts, ends, stretch_hashes(part, starts, ends, powers))
