@@ -2,9 +2,9 @@
 
 The pieces of a fixed public vocabulary have a probability in each language, counted on the labelled
 training rows. A text's likelihood sums over all its segmentations into pieces: a forward pass over each
-word (pieces never cross white space), where every character also has a rare fallback of its own, and
-words over ``LONGEST`` characters are cut there. Words repeat, so a word's likelihoods are remembered
-(bounded memory) and a text's are the sum over all its words.
+word (pieces never cross white space), where every character also has a rare fallback of its own. Of a word,
+however long, only as many steps are held as a piece is long. Words repeat, so a word's likelihoods are remembered
+by its 64-bit hash (bounded memory) and a text's are the sum over all its words.
 
 Null text and texts without a letter are ``und`` with score 0; null languages are never learned; a null
 doc_id is carried; repeated rows each give their own row; an empty table gives an empty result; without
@@ -20,15 +20,21 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import Powers, sliced, spans, stretch_hashes
+
 #: Training rows in expectation, at most (chosen by a hash); what learning reads is bounded by it.
 FIT_ROWS = 20_000
-LONGEST, FALLBACK, SMOOTH, MEMO = 32, 1e-8, 0.1, 120_000
+FALLBACK, SMOOTH = 1e-8, 0.1
+#: Words that a process remembers; cells of a forward pass.
+MEMO, CELLS = 600_000, 1 << 18
 UNKNOWN = "und"
-#: A text is rejected if it is ``und`` or no language is likelier than this.
-LEAST = 0.3
+#: A text is rejected if it is ``und``, if no language is likelier than the first, or if its mean log likelihood by character in
+#: the likeliest one is below the second: other scripts, languages not learned and random letters come to -5 and less, prose to -1 to -3.
+LEAST, LEAST_FLUENT = 0.3, -4.0
 
 
 def default_path() -> str:
@@ -41,15 +47,16 @@ def held_out(parts: int = 5, part: int = 0) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-SIGNS = str.maketrans(dict.fromkeys("!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~", " "))
+SIGNS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
+_APART = str.maketrans(dict.fromkeys(SIGNS, " "))
+#: The same by bytes.
+_APART_BYTES = np.arange(256).astype("u1")
+_APART_BYTES[list(SIGNS.encode())] = 32
 
 
 def _words(text: str) -> list[str]:
     """Words in lower case; signs and digits part them, as they belong to no language."""
-    words = text.lower().translate(SIGNS).split()
-    if max(map(len, words), default=0) <= LONGEST:
-        return words
-    return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    return text.lower().translate(_APART).split()
 
 
 class Pieces:
@@ -60,7 +67,7 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.model.get_piece_size()
-        self._automaton = None
+        self._automaton, self.longest = None, 1
 
     @property
     def automaton(self):
@@ -72,6 +79,7 @@ class Pieces:
                 piece = self.model.id_to_piece(i)
                 if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i)) and piece == piece.lower():
                     made.add_word(piece, len(piece) << 32 | i)
+                    self.longest = max(self.longest, len(piece))
             made.make_automaton()
             self._automaton = made
         return self._automaton
@@ -80,7 +88,7 @@ class Pieces:
 def _counter(path_of: Callable[[], str]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, words = Pieces(path_of()), {}
-        for batch in batches:
+        for batch in chain.from_iterable(map(sliced, batches)):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 words.setdefault(lang, Counter()).update(_words(text))
         for lang, counts in words.items():
@@ -119,13 +127,11 @@ def fit(docs: DataFrame, path_of: Callable[[], str] = default_path, rows: int =
 
 
 class Scorer:
-    """What a process knows of words: their scores in rows of ``known``, by two memories that take turns, so that what is not met again is forgotten."""
+    """What a process knows of words, by their hash, sorted: score by language, characters, when last met. Of ``MEMO`` words those met last are kept."""
 
     def __init__(self, model: Model, path: str):
-        self.model, self.pieces = model, Pieces(path)
-        self.memo: dict[str, int] = {}
-        self.known = np.empty((0, len(model.langs)))
-        self.older: tuple[dict[str, int], np.ndarray] = ({}, self.known)
+        self.model, self.pieces, self.powers = model, Pieces(path), Powers()
+        self.known, self.table, self.tick = np.empty(0, "u8"), np.empty((0, len(model.langs) + 2)), 0
 
     _last: tuple | None = None
 
@@ -153,89 +159,121 @@ class Scorer:
         order = np.argsort(stop, kind="stable")
         word, stop, length, piece = word[order], stop[order], length[order], piece[order]
         bounds = np.searchsorted(stop, np.arange(1, lens.max() + 2))
-        forward = np.zeros((lens.max() + 1, len(words), len(self.model.langs)))
-        forward[0] = 1.0
+        # the last steps only; each word and language has a scale of its own, so that no product becomes too small
+        steps = self.pieces.longest + 1
+        ring = np.zeros((steps, len(words), len(self.model.langs)))
+        ring[0] = 1.0
+        scale = np.zeros(ring.shape[1:])
+        out = np.empty(ring.shape[1:])
+        last = np.argsort(lens, kind="stable")
+        done = np.searchsorted(lens[last], np.arange(lens.max() + 2))
         for j in range(1, lens.max() + 1):
-            here = forward[j - 1] * FALLBACK
+            here = ring[(j - 1) % steps] * FALLBACK
             a, b = bounds[j - 1], bounds[j]
             if b > a:
-                np.add.at(here, word[a:b], forward[j - length[a:b], word[a:b]] * self.model.table[piece[a:b]])
-            forward[j] = here
-        return np.log(forward[lens, np.arange(len(words))])
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Log likelihood by text and language."""
-        if len(self.memo) > MEMO:
-            self.older, self.memo, self.known = (self.memo, self.known), {}, self.known[:0]
-        split = [_words(t) for t in texts]
-        fresh = list({w for words in split for w in words if w not in self.memo})
-        again = [w for w in fresh if w in self.older[0]]
-        made = [self.known, self.older[1][[self.older[0][w] for w in again]]]
-        self.memo.update(zip(again, range(len(self.memo), len(self.memo) + len(again))))
-        fresh = [w for w in fresh if w not in self.memo]
-        for i in range(0, len(fresh), 4000):
-            part = fresh[i : i + 4000]
-            self.memo.update(zip(part, range(len(self.memo), len(self.memo) + len(part))))
-            made.append(self.word_scores(part))
-        self.known = np.concatenate(made)
-        get = self.memo.__getitem__
-        return np.array([self.known[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0) for words in split]).reshape(len(texts), -1)
+                np.add.at(here, word[a:b], ring[(j - length[a:b]) % steps, word[a:b]] * self.model.table[piece[a:b]])
+            ring[j % steps] = here
+            ended = last[done[j] : done[j + 1]]
+            out[ended] = np.log(here[ended]) + scale[ended]
+            if j % 8 == 0:
+                small = np.where((here < 1e-100) & (here > 0), here, 1.0)
+                ring /= small
+                scale += np.log(small)
+        return out
+
+    def _learn(self, hashes: np.ndarray, raw: list[str]) -> None:
+        """Scores of new words, those of like length together. What stands between signs may hold other white space, and so several words."""
+        split = [_words(w) for w in raw]
+        words = sorted(set(chain.from_iterable(split)), key=len)
+        rows, at = np.zeros((len(words), len(self.model.langs) + 1)), 0
+        rows[:, -1] = np.fromiter(map(len, words), float, len(words)) + 1  # a word's end counts as a character
+        while at < len(words):
+            stop = at + 1
+            while stop < len(words) and (stop + 1 - at) * (len(words[stop]) + 2) <= CELLS:
+                stop += 1
+            rows[at:stop, :-1], at = self.word_scores(words[at:stop]), stop
+        place = dict(zip(words, range(len(words))))
+        made = np.full((len(raw), self.table.shape[1]), self.tick, float)
+        several = [n for n, parts in enumerate(split) if len(parts) != 1]
+        made[:, :-1] = rows[[place[parts[0]] if len(parts) == 1 else 0 for parts in split]] if words else 0.0
+        for n in several:
+            made[n, :-1] = rows[[place[w] for w in split[n]]].sum(axis=0)
+        into = np.searchsorted(self.known, hashes)
+        self.known, self.table = np.insert(self.known, into, hashes), np.insert(self.table, into, made, axis=0)
+
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihood by text and language, and characters of each text."""
+        out = np.zeros((len(texts), self.table.shape[1] - 1))
+        for start, data, bounds, starts, ends in spans(texts, pc.ascii_lower, swap=_APART_BYTES):
+            self.tick += 1
+            if len(self.known) > MEMO:
+                kept = self.table[:, -1] > np.median(self.table[:, -1])
+                self.known, self.table = self.known[kept], self.table[kept]
+            hashes, first, inverse = np.unique(stretch_hashes(data, starts, ends, self.powers), return_index=True, return_inverse=True)
+            at = np.searchsorted(self.known, hashes)
+            new = at == len(self.known)
+            new[~new] = self.known[at[~new]] != hashes[~new]
+            if new.any():
+                raw = data.tobytes()
+                self._learn(hashes[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+                at = np.searchsorted(self.known, hashes)
+            self.table[at, -1] = self.tick
+            sums = np.zeros((len(starts) + 1, out.shape[1]))
+            np.cumsum(self.table[at[inverse], :-1], axis=0, out=sums[1:])
+            stops = np.searchsorted(starts, bounds)
+            out[start : start + len(bounds) - 1] = sums[stops[1:]] - sums[stops[:-1]]
+        return out[:, :-1], out[:, -1]
 
 
 class Judge:
     def __init__(self, model: Model, path: str):
         self.model, self.scorer = model, Scorer.at(model, path)
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and posterior by text."""
-        langs, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        lettered = [n for n, t in enumerate(texts) if self.model.langs and t and any(map(str.isalpha, t))]
-        part: list[int] = []
-        held = 0
-        for k, n in enumerate(lettered):
-            part.append(n)
-            held += len(texts[n])
-            if held < 1 << 20 and k + 1 < len(lettered):
-                continue
-            logs = self.scorer.scores([texts[m] for m in part])
-            odds = np.exp(logs - logs.max(axis=1, keepdims=True))
-            odds /= odds.sum(axis=1, keepdims=True)
-            for m, row in zip(part, odds):
-                langs[m], best[m] = self.model.langs[int(row.argmax())], float(row.max())
-            part, held = [], 0
-        return langs, best
+    def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, its posterior, and the text's mean log likelihood by character in it (NaN where there is none)."""
+        lettered = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)) if self.model.langs else []
+        langs, best, fluent = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
+        if not len(lettered):
+            return langs, best, fluent
+        logs, chars = self.scorer.scores(texts.take(pa.array(lettered)))
+        odds = np.exp(logs - logs.max(axis=1, keepdims=True))
+        odds /= odds.sum(axis=1, keepdims=True)
+        for m, k in zip(lettered.tolist(), odds.argmax(axis=1).tolist()):
+            langs[m] = self.model.langs[k]
+        best[lettered], fluent[lettered] = odds.max(axis=1), logs.max(axis=1) / chars
+        return langs, best, fluent
 
 
 def _predictor(model: Model, path_of: Callable[[], str]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(model, path_of())
-        for batch in batches:
-            langs, best = judge(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(best)], ["doc_id", "held_out", "lang_pred", "score"])
+        for batch in chain.from_iterable(map(sliced, batches)):
+            langs, best, fluent = judge(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(best), pa.array(fluent, from_pandas=True)], ["doc_id", "held_out", "lang_pred", "score", "fluency"])
 
     return predict
 
 
 def predict(docs: DataFrame, model: Model, path_of: Callable[[], str] = default_path) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (posterior of the predicted language) for every row."""
+    """doc_id, held_out, lang_pred, score (posterior of the predicted language), fluency (mean log likelihood by character in it) for every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_predictor(model, path_of), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_predictor(model, path_of), f"doc_id {kind}, held_out boolean, lang_pred string, score double, fluency double")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs))
 
 
-def _sieve(model: Model, path_of: Callable[[], str], least: float):
+def _sieve(model: Model, path_of: Callable[[], str], least: float, least_fluent: float):
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(model, path_of())
-        for batch in batches:
-            langs, best = judge(batch.column("text").to_pylist())
-            yield batch.filter(pa.array((best > least) & (np.array(langs, object) != UNKNOWN), pa.bool_()))
+        for batch in chain.from_iterable(map(sliced, batches)):
+            langs, best, fluent = judge(batch.column("text"))
+            yield batch.filter(pa.array((best > least) & (np.nan_to_num(fluent, nan=-np.inf) >= least_fluent) & (np.array(langs, object) != UNKNOWN), pa.bool_()))
 
     return sieve
 
 
-def accepted(docs: DataFrame, path_of: Callable[[], str] = default_path, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` whose language can be told: not ``und``, and likelier than ``least`` in some language."""
-    return docs.mapInArrow(_sieve(fit(docs, path_of), path_of, least), docs.schema)
+def accepted(docs: DataFrame, path_of: Callable[[], str] = default_path, least: float = LEAST, least_fluent: float = LEAST_FLUENT) -> DataFrame:
+    """The rows of ``docs`` whose language can be told: not ``und``, likelier than ``least`` in some language, and as fluent in it as ``least_fluent``."""
+    return docs.mapInArrow(_sieve(fit(docs, path_of), path_of, least, least_fluent), docs.schema)
