@@ -4,12 +4,13 @@ Of each document's suffixes only those at content-selected positions are retaine
 consecutive seeds (``SEED_WORDS`` words each) the one of least hash. As seed and window span ``MINIMUM``
 words together, every passage of that length retains the suffix at the same place in each of its copies.
 Retained suffixes whose seed is unique in the corpus are dropped by one aggregation over hashes. The others
-get their words to the left and right (as hashes), are sorted, and neighbours that agree are compared: equal stretches of
-``MINIMUM`` words around a seed, for each place of the seed in the stretch, then extended by uniting
-overlapping stretches, left and right, to whole passages.
+get their words to the right and left, are sorted by the words from the seed on, and neighbours are compared word by word:
+how many words they share to the right. The same to the left extends the match. Suffixes that share ``MINIMUM`` words in all, for each
+place of the seed among them, are repeats; overlapping ones are united, left and right, to whole passages.
 
-Seeds with more than ``HEAVY`` distinct surroundings are not brought together in a task: their stretches
-are dealt out by their own hashes and counted by aggregation, which is exact at any size.
+Seeds with more than ``HEAVY`` distinct surroundings are not brought together in a task: their stretches of ``MINIMUM`` words
+are dealt out by their own hashes and counted by aggregation, which finds the same at any size. Words around a seed are
+compared by 32 bits of their hash, seeds by 64: two stretches that differ in a word pass for equal once in four billion.
 
 Words are as between white space. Null and empty texts and texts under ``MINIMUM`` words have no passages;
 a null doc_id has none either (it cannot be told from another document); rows that share a doc_id count as
@@ -27,11 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import groups
+from .blocks import chunks
 from .common import Staged
 from .words import BASE, Powers, mix, portions, stretch_hashes
 
-MINIMUM, SEED_WORDS, HEAVY = 50, 25, 20_000
+MINIMUM, SEED_WORDS, HEAVY = 50, 25, 2000
 WINDOW = MINIMUM - SEED_WORDS + 1
 SIDE = MINIMUM - SEED_WORDS
 
@@ -118,26 +119,49 @@ def _stretches(around: list[bytes]) -> np.ndarray:
     return np.where(inside, made | np.uint64(1), np.uint64(0))
 
 
+def _shared(words: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows by run and words, how many words each then shares with the row before (-1 in another run), and the length of each row."""
+    order = np.lexsort((*words.T[::-1], run))
+    line, runs = words[order], run[order]
+    same = np.column_stack((line[1:] == line[:-1], np.zeros(len(line) - 1, bool)))
+    shared = np.where(runs[1:] == runs[:-1], same.argmin(axis=1), -1)
+    return order, np.append(-1, shared), (words != 0).sum(axis=1)
+
+
+def _interval(order: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """A number for each row that it has in common with rows that share ``least`` words with it."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(shared < least)
+    return out
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sort the suffixes of a seed by each stretch in turn; equal neighbours under two ids are repeats."""
-    for group in groups(batches, ("seed",)):
-        first, last = (group.column(c).to_numpy() for c in ("first", "last"))
-        key = _stretches(group.column("around").to_pylist())
-        places, heads = [], []
+    """Sort the suffixes of each seed, compare neighbours to the right and to the left; those that share enough under two ids are repeats."""
+    for chunk in chunks(batches, "seed"):
+        first, last, seed = (chunk.column(c).to_numpy() for c in ("first", "last", "seed"))
+        run = np.cumsum(np.append(True, seed[1:] != seed[:-1]))
+        words = np.frombuffer(b"".join(chunk.column("around").to_pylist()), "<u4").reshape(-1, 2 * SIDE)
+        right, right_shared, right_size = _shared(words[:, SIDE:], run)
+        left, left_shared, left_size = _shared(words[:, :SIDE][:, ::-1], run)
+        found, head = np.zeros((len(run), SIDE + 1), bool), np.zeros((len(run), SIDE + 1), np.int64)
         for o in range(SIDE + 1):
-            order = np.argsort(key[:, o], kind="stable")
-            column = key[order, o]
-            start = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
-            low, high = np.minimum.reduceat(first[order], start), np.maximum.reduceat(last[order], start)
-            size = np.diff(np.append(start, len(order)))
-            hit = np.repeat((low != high) & (column[start] != 0), size)
-            places.append(np.where(hit, 1, 0)[np.argsort(order, kind="stable")])
-            heads.append(np.repeat(low, size)[np.argsort(order, kind="stable")])
-        found, head = np.array(places).T.astype(bool), np.array(heads).T
+            inside = np.flatnonzero((left_size >= o) & (right_size >= SIDE - o))
+            key = _interval(right, right_shared, SIDE - o)[inside] * (len(run) + 1) + _interval(left, left_shared, o)[inside]
+            order = np.argsort(key, kind="stable")
+            column, rows = key[order], inside[order]
+            start = np.flatnonzero(np.append(True, column[1:] != column[:-1])) if len(column) else np.empty(0, np.int64)
+            if not start.size:
+                continue
+            low, high = np.minimum.reduceat(first[rows], start), np.maximum.reduceat(last[rows], start)
+            size = np.diff(np.append(start, len(rows)))
+            found[rows, o], head[rows, o] = np.repeat(low != high, size), np.repeat(low, size)
         rows = np.flatnonzero(found.any(axis=1))
         if rows.size:
-            offsets = [np.flatnonzero(found[r]).tolist() for r in rows]
-            yield pa.RecordBatch.from_arrays([group.column("seed").combine_chunks().take(pa.array(rows)), group.column("around").combine_chunks().take(pa.array(rows)), pa.array(offsets, pa.list_(pa.int32())), pa.array([head[r, o].tolist() for r, o in zip(rows, offsets)], pa.list_(pa.int64()))], ["seed", "around", "offsets", "heads"])
+            count = np.append(0, np.cumsum(found[rows].sum(axis=1))).astype("i4")
+            offsets = pa.ListArray.from_arrays(pa.array(count), pa.array(np.nonzero(found[rows])[1].astype("i4")))
+            heads = pa.ListArray.from_arrays(pa.array(count), pa.array(head[rows][found[rows]]))
+            kept = chunk.select(["seed", "around"]).take(pa.array(rows)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*[kept.column(c).chunk(0) for c in ("seed", "around")], offsets, heads], ["seed", "around", "offsets", "heads"])
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,13 +202,17 @@ def repeats(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
         table.drop()
     shapes = Staged(around.groupBy("seed", "around").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "suffix-kinds")
     shape = shapes.read()
-    many = shape.groupBy("seed").count().where(F.col("count") > heavy).select("seed")
+    # tables of known size: where they are small, as few seeds are in many texts, rows of such seeds do not meet on their account
+    crowded = Staged(shape.groupBy("seed").count().where(F.col("count") > heavy).select("seed"), "suffix-crowded")
+    many = crowded.read()
     light = shape.join(many, "seed", "left_anti").repartition("seed").sortWithinPartitions("seed", "around")
     spread = shape.join(many, "seed", "left_semi").mapInArrow(_spread, "seed long, around binary, first long, last long, offset int, stretch long")
     shared = spread.groupBy("seed", "offset", "stretch").agg(F.min("first").alias("head"), F.max("last").alias("tail")).where("head != tail").drop("tail")
-    dealt = spread.join(shared, ["seed", "offset", "stretch"]).groupBy("seed", "around").agg(F.collect_list("offset").alias("offsets"), F.collect_list("head").alias("heads"))
+    shared = Staged(shared, "suffix-shared")
+    dealt = spread.join(shared.read(), ["seed", "offset", "stretch"]).groupBy("seed", "around").agg(F.collect_list("offset").alias("offsets"), F.collect_list("head").alias("heads"))
     kinds = Staged(light.mapInArrow(_compare, KINDS).unionByName(shape.where("first != last").mapInArrow(_own, KINDS)).unionByName(dealt), "suffix-repeats")
-    shapes.drop()
+    for table in (shapes, shared, crowded):
+        table.drop()
     return around.join(kinds.read(), ["seed", "around"]).select("doc_id", "pos", "offsets", "heads")
 
 
