@@ -2,8 +2,10 @@
 
 Vectors are unit-scaled in double precision and equal ones of a label become one node. Trees are fitted
 on a bounded sample (``SAMPLE`` vectors, chosen by a hash): each inner node splits at the median of a random projection,
-and a vector within ``SPILL`` of the split goes to both sides. All vectors are routed through every
-tree; those that share label, tree and leaf are compared in blocks by matrix products, so a link is
+and a vector near the split goes to both sides: within ``SPILL`` times what the projections of two vectors of cosine
+``LEAST`` differ by (their standard deviation), so that spill does not depend on the vectors' length. All vectors are routed
+through every tree. Leaves of over ``BIG`` vectors, as a sample leaves them in large tables, are split on in the
+same way by medians over all their vectors, level by level. Those that share label, tree and leaf are compared in blocks by matrix products, so a link is
 found exactly once: in the first tree, and the first leaf of it, that both ends share. Each task returns link
 counts by vector and a spanning forest of its links; components are joined by stars.
 
@@ -26,7 +28,7 @@ from .blocks import Forest, deal, groups
 from .common import Staged
 from .components import connected_components
 
-LEAST, TREES, LEAF, SPILL, SAMPLE, SEED, BLOCK = 0.98, 4, 512, 0.015, 20_000, 7, 2048
+LEAST, TREES, LEAF, SPILL, SAMPLE, SEED, BLOCK, BIG = 0.98, 4, 512, 0.6, 20_000, 7, 2048, 8192
 #: Of the sample, whatever the vectors' length.
 SAMPLE_BYTES = 16 << 20
 
@@ -96,6 +98,54 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(made, pa.binary()), pa.array([None if m is None else len(m) // 8 for m in made], pa.int32())], ["vec_id", "label", "unit", "size"])
 
 
+def spill_of(spill: float, least: float, size: int) -> float:
+    """How far from a split a vector goes to both sides: two unit vectors of that cosine are sqrt(2 - 2 cos) apart, in ``size`` directions."""
+    return spill * float(np.sqrt(max(2 - 2 * least, 0.0) / size))
+
+
+def _projector(seed: int):
+    """Adds the projection on a direction that the leaf's number draws."""
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, leaf, sizes = np.zeros(batch.num_rows), batch.column("leaf").to_numpy(), batch.column("size").to_numpy()
+            for size, name in set(zip(sizes.tolist(), leaf.tolist())):
+                mine = np.flatnonzero((leaf == name) & (sizes == size))
+                direction = np.random.default_rng([seed, name & 0xFFFFFFFFFFFFFFFF]).standard_normal(size)
+                out[mine] = _matrix(batch.column("unit").take(pa.array(mine)), size) @ (direction / np.linalg.norm(direction))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "at"])
+
+    return project
+
+
+def _grown(routed: DataFrame, least: float, spill: float, big: int, seed: int) -> DataFrame:
+    """Splits leaves of over ``big`` vectors until none is left that splits, and gathers anew the leaves of each vector."""
+    by = ["label", "size", "leaf"]
+    held = Staged(routed.drop("codes"), "embed-routed")
+    done: list[DataFrame] = []
+    while True:
+        rows = held.read()
+        full = rows.groupBy(*by).count().where(F.col("count") > big).select(*by)
+        if full.isEmpty():
+            break
+        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        placed = Staged(rows.join(full, by, "left_semi").select(rows.columns).mapInArrow(_projector(seed), f"{kind}, at double"), "embed-projected")
+        split = placed.read().groupBy(*by).agg(F.percentile_approx("at", F.lit(0.5)).alias("split"), F.min("at").alias("low"), F.max("at").alias("high"))
+        near = F.lit(spill) * F.sqrt(F.lit(max(2 - 2 * least, 0.0)) / F.col("size"))
+        sides = F.array_compact(F.array(F.when(F.col("at") < F.col("split") + near, F.lit(0)), F.when(F.col("at") >= F.col("split") - near, F.lit(1))))
+        # a heap of like vectors does not split: it is compared by blocks
+        parts = (F.col("low") < F.col("split") - near) | (F.col("high") >= F.col("split") + near)
+        told = placed.read().join(split, by).withColumn("parts", parts)
+        done += [rows.join(full, by, "left_anti"), told.where(~F.col("parts")).select(rows.columns)]
+        after = told.where("parts").withColumn("side", F.explode(sides)).withColumn("leaf", F.xxhash64("leaf", "side")).select(rows.columns)
+        held = Staged(after, "embed-routed")
+    whole = held.read()
+    for part in done:
+        whole = whole.unionByName(part)
+    codes = whole.groupBy("node").agg(F.array_sort(F.collect_list("leaf")).alias("codes"))
+    return whole.join(codes, "node")
+
+
 def _router(forests: dict[int, list[Tree]]):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +153,7 @@ def _router(forests: dict[int, list[Tree]]):
             for size in np.unique(sizes):
                 mine = batch.filter(pa.array(sizes == size))
                 rows = _matrix(mine.column("unit"), int(size))
-                routed = [t.route(rows) for t in forests.get(int(size), [Tree(rows[:0], LEAF, 0, SPILL)])]
+                routed = [t.route(rows) for t in forests.get(int(size), [Tree(rows[:0], LEAF, 0, 0.0)])]
                 at, tree, leaf, codes = [], [], [], []
                 for i in range(len(rows)):
                     code = [n << 32 | x for n, r in enumerate(routed) for x in r[i]]
@@ -151,9 +201,10 @@ def _comparer(least: float):
     return compare
 
 
-def _fit(nodes: DataFrame, trees: int, leaf: int, spill: float, sample: int, seed: int) -> dict[int, list[Tree]]:
+def _fit(nodes: DataFrame, least: float, trees: int, leaf: int, spill: float, sample: int, seed: int) -> dict[int, list[Tree]]:
     """By vector length, trees over a sample of at most about ``sample`` vectors; leaves hold ``leaf`` of all vectors in expectation, but at least 8 of the sample."""
-    counts = {r["size"]: r["count"] for r in nodes.groupBy("size").count().collect()}
+    # vectors of a length of which there are few are one leaf
+    counts = {r["size"]: r["count"] for r in nodes.groupBy("size").count().where(F.col("count") > leaf).collect()}
     out = {}
     for size, count in counts.items():
         most = min(sample, SAMPLE_BYTES // (8 * size))
@@ -161,21 +212,28 @@ def _fit(nodes: DataFrame, trees: int, leaf: int, spill: float, sample: int, see
         chosen = nodes.where((F.col("size") == size) & (F.pmod(F.xxhash64(F.lit("forest"), "unit"), F.lit(1 << 30)) < int(share * (1 << 30))))
         rows = [bytes(r[0]) for r in chosen.select("unit").limit(2 * most).collect()]
         held = _matrix(pa.array(sorted(rows), pa.binary()), size)
-        out[size] = [Tree(held, max(8, int(leaf * share)), seed + n, spill) for n in range(trees)]
+        out[size] = [Tree(held, max(8, int(leaf * share)), seed + n, spill_of(spill, least, size)) for n in range(trees)]
     return out
 
 
-def links(vectors: DataFrame, least: float = LEAST, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+def links(vectors: DataFrame, least: float = LEAST, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE, seed: int = SEED, big: int = BIG) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
     scaled = vectors.select("vec_id", "label", "embedding").mapInArrow(_unit, f"vec_id {kinds['vec_id']}, label {kinds['label']}, unit binary, size int")
     comparable = F.col("label").isNotNull() & F.col("unit").isNotNull()
     units = Staged(scaled.withColumn("node", F.when(comparable, F.xxhash64("label", "unit"))), "embed-units").read()
-    nodes = Staged(units.where("node is not null").groupBy("node", "label", "size", "unit").agg(F.count("*").alias("n"), F.min("vec_id").alias("first")), "embed-nodes").read()
-    forests = _fit(nodes, trees, leaf, spill, sample, seed)
+    distinct = Staged(units.where("node is not null").groupBy("node", "label", "size", "unit").agg(F.count("*").alias("n"), F.min("vec_id").alias("first")), "embed-nodes")
+    nodes = distinct.read()
+    forests = _fit(nodes, least, trees, leaf, spill, sample, seed)
     routed = nodes.select("node", "label", "size", "n", "unit").mapInArrow(_router(forests), f"node long, label {kinds['label']}, size int, n long, unit binary, leaf long, codes array<long>")
+    leaves = Staged(routed, "embed-leaves")
+    routed = leaves.read()
+    if not routed.groupBy("label", "size", "leaf").count().where(F.col("count") > big).isEmpty():
+        routed = _grown(routed, least, spill, big, seed)
     dealt = deal(routed.withColumn("key", F.xxhash64("label", "size", "leaf")), "key", "node", BLOCK)
-    found = Staged(dealt.mapInArrow(_comparer(least), "a long, b long, n long"), "embed-links").read()
+    compared = Staged(dealt.mapInArrow(_comparer(least), "a long, b long, n long"), "embed-links")
+    leaves.drop()
+    found = compared.read()
     others = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     place = connected_components(found.select("a", "b"))
     whole = nodes.select("node", "n", "first").join(others, "node", "left").join(place, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -183,6 +241,8 @@ def links(vectors: DataFrame, least: float = LEAST, trees: int = TREES, leaf: in
     # only nodes with copies or links need a row; the rest are their own component
     busy = whole.where("n > 1 or others is not null").join(least_id, "component").select("node", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     busy = Staged(busy, "embed-busy").read()
+    for table in (distinct, compared):
+        table.drop()
     return units.select("vec_id", "node").join(busy, "node", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
