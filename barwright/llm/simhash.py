@@ -130,13 +130,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
 def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id (smallest doc_id that links reach)."""
     prints = Staged(fingerprints(docs), "simhash").read()
-    firsts = Staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-first").read()
+    distinct = Staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-first")
+    firsts = distinct.read()
     found = connected_components(links(firsts.select("fp"), radius))
     linked = firsts.join(found.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     placed = linked.join(least, "component").select("fp", "component_id")
     whole = firsts.join(placed, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     placed_all = Staged(whole, "simhash-component").read()
+    distinct.drop()
     return prints.join(placed_all, "fp", "left").select("doc_id", "fp", "component_id")
 
 
