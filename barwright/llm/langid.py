@@ -31,6 +31,8 @@ FIT_ROWS = 20_000
 FALLBACK, SMOOTH = 1e-8, 0.1
 #: Words that a process remembers; cells of a forward pass.
 MEMO, CELLS = 600_000, 1 << 18
+#: Bytes of text looked at together.
+PORTION = 1 << 20
 UNKNOWN = "und"
 #: A text is rejected if it is ``und``, if no language is likelier than the first, or if its mean log likelihood by character in
 #: the likeliest one is below the second: other scripts, languages not learned and random letters come to -5 and less, prose to -1 to -3.
@@ -204,7 +206,7 @@ class Scorer:
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood by text and language, and characters of each text."""
         out = np.zeros((len(texts), self.table.shape[1] - 1))
-        for start, data, bounds, starts, ends in spans(texts, pc.ascii_lower, swap=_APART_BYTES):
+        for start, data, bounds, starts, ends in spans(texts, pc.ascii_lower, PORTION, _APART_BYTES):
             self.tick += 1
             if len(self.known) > MEMO:
                 kept = self.table[:, -1] > np.median(self.table[:, -1])
@@ -247,7 +249,7 @@ class Judge:
 def _predictor(model: Model, path_of: Callable[[], str]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(model, path_of())
-        for batch in chain.from_iterable(map(sliced, batches)):
+        for batch in chain.from_iterable(sliced(b, PORTION) for b in batches):
             langs, best, fluent = judge(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(best), pa.array(fluent, from_pandas=True)], ["doc_id", "held_out", "lang_pred", "score", "fluency"])
 
@@ -267,7 +269,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def _sieve(model: Model, path_of: Callable[[], str], least: float, least_fluent: float):
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(model, path_of())
-        for batch in chain.from_iterable(map(sliced, batches)):
+        for batch in chain.from_iterable(sliced(b, PORTION) for b in batches):
             langs, best, fluent = judge(batch.column("text"))
             yield batch.filter(pa.array((best > least) & (np.nan_to_num(fluent, nan=-np.inf) >= least_fluent) & (np.array(langs, object) != UNKNOWN), pa.bool_()))
 

@@ -152,7 +152,7 @@ class Encoder:
             for some in texts:
                 yield np.array(self._encoded([some.as_py() or ""])[0] + [END], "<u4")
             return
-        for _, data, bounds, starts, ends in spans(texts, _lower):
+        for _, data, bounds, starts, ends in spans(texts, _lower, 1 << 20):
             starts, ends = self._parts(data, bounds, starts, ends)
             hashes, first, inverse = np.unique(stretch_hashes(data, starts, ends, self.powers), return_index=True, return_inverse=True)
             self.tick += 1
