@@ -21,7 +21,6 @@ reported once for each pair of ids; an empty table on either side gives an empty
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BitMap, bit_map
 from .common import Staged
-from .words import Portion, Powers, portions, sliced
+from .words import Portion, Powers, of_process, portions, sliced
 
 WINDOW, SHARE = 5, 0.8
 #: Words are parted as in ``words``.
@@ -47,7 +46,7 @@ EDGES = "\"'`.,;:!?()[]{}<>*_~|…“”‘’«»¿¡"
 NUM, UNIT, NAME = "\0n", "\0u", "\0p"
 SLOTS = (NUM, UNIT, NAME)
 #: Words whose forms a task remembers.
-MEMO = 600_000
+MEMO = 300_000
 #: Share of the item's words, numbers apart, that an occurrence keeps as they are (two at least): slots alone are of one form in many texts.
 KEPT = 0.2
 #: Matches of windows looked at together.
@@ -91,10 +90,9 @@ class _Coder:
         self.slots = {slot: _code(slot) for slot in SLOTS}
 
     @staticmethod
-    @functools.lru_cache(maxsize=1)
-    def of_process() -> _Coder:
+    def at() -> _Coder:
         """The process's coder; what it knows of words serves the next task."""
-        return _Coder()
+        return of_process(("benchmark",), _Coder)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         rows = []
@@ -165,7 +163,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _found(known: BitMap, widths: list[int]):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _Coder.of_process()
+        coder = _Coder.at()
         for batch in batches:
             rows = batch.column("row").to_numpy()
             for portion in portions(batch.column("text"), coder.powers, most=1 << 20):

@@ -24,15 +24,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import Powers, sliced, spans, stretch_hashes
+from .words import Powers, of_process, sliced, spans, stretch_hashes
 
 #: Training rows in expectation, at most (chosen by a hash); what learning reads is bounded by it.
 FIT_ROWS = 20_000
 FALLBACK, SMOOTH = 1e-8, 0.1
 #: Words that a process remembers; cells of a forward pass.
-MEMO, CELLS = 600_000, 1 << 18
+MEMO, CELLS = 300_000, 1 << 18
 #: Bytes of text looked at together.
-PORTION = 1 << 20
+PORTION = 1 << 19
 UNKNOWN = "und"
 #: A text is rejected if it is ``und``, if no language is likelier than the first, or if its mean log likelihood by character in
 #: the likeliest one is below the second: other scripts, languages not learned and random letters come to -5 and less, prose to -1 to -3.
@@ -135,15 +135,11 @@ class Scorer:
         self.model, self.pieces, self.powers = model, Pieces(path), Powers()
         self.known, self.table, self.tick = np.empty(0, "u8"), np.empty((0, len(model.langs) + 2)), 0
 
-    _last: tuple | None = None
-
-    @classmethod
-    def at(cls, model: Model, path: str) -> Scorer:
+    @staticmethod
+    def at(model: Model, path: str) -> Scorer:
         """The process's scorer for this model; it serves the next task too."""
-        name = (path, tuple(model.langs), hashlib.sha256(model.table.tobytes()).hexdigest())
-        if cls._last is None or cls._last[0] != name:
-            cls._last = (name, cls(model, path))
-        return cls._last[1]
+        name = ("language", path, tuple(model.langs), hashlib.sha256(model.table.tobytes()).hexdigest())
+        return of_process(name, lambda: Scorer(model, path))
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Forward pass over all words at once: log of the sum over segmentations, by word and language."""

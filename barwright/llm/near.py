@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .blocks import BitMap, bit_map
 from .common import Staged
 from .components import connected_components
-from .words import Powers, mix, portions, sliced
+from .words import Powers, mix, of_process, portions, sliced
 
 #: Similarity as a fraction.
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -124,7 +124,7 @@ class Common:
 
 def _prefixes(common: Common):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers = of_process(("near",), Powers)
         seen: set[int] = set()
         for batch in chain.from_iterable(map(sliced, batches)):
             if len(seen) > SEEN:
@@ -148,7 +148,7 @@ def _prefixes(common: Common):
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
+    powers = of_process(("near",), Powers)
     for batch in batches:
         for hashes in shingle_sets(batch.column("text"), powers):
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view("i8"))], ["shingle"])
@@ -315,7 +315,7 @@ def _brought(asked: BitMap, made: Callable[[np.ndarray], np.ndarray]):
     """What ``made`` makes of the sets of the rows whose print may be among those asked for."""
 
     def brought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers = of_process(("near",), Powers)
         for batch in chain.from_iterable(map(sliced, batches)):
             batch = batch.filter(pa.array(asked.has(batch.column("print").to_numpy().view("u8"))))
             if batch.num_rows:

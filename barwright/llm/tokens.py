@@ -14,7 +14,6 @@ hash; an empty table gives an empty file and result; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import os
 import re
@@ -31,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged_path, text_or_empty
-from .words import Powers, spans, stretch_hashes
+from .words import Powers, of_process, spans, stretch_hashes
 
 END, SAMPLE, DICT_BYTES, BLOCK_DOCS, BLOCK_BYTES = 1, 2000, 65536, 256, 1 << 20
 BLOCKS = "part int, block long, dict_hash string, first_doc long, last_doc long, docs array<long>, tokens array<int>, offsets array<long>, start long, total long, width int, data binary"
 #: Parts of words that a process remembers.
-MEMO = 1_000_000
+MEMO = 600_000
 
 
 def default_path() -> str:
@@ -87,10 +86,9 @@ class Encoder:
         self.parted = [x.tolist() for x in self.encode(pa.array(texts, pa.string()))] == plain
 
     @staticmethod
-    @functools.lru_cache(maxsize=1)
     def at(path: str) -> Encoder:
         """The process's encoder; what it remembers serves the next task."""
-        return Encoder(path)
+        return of_process(("tokens", path), lambda: Encoder(path))
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,17 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+_HELD: dict = {}
+
+
+def of_process(name: tuple, make: Callable[[], Any]) -> Any:
+    """What this process remembers under a name, made when first asked for. One thing is held at a time: who comes next drops what an operator before it held."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 class Powers:
     """Powers of the base and of its inverse, as many as were asked for."""
 
