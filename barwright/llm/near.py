@@ -9,8 +9,10 @@ components of all such pairs. They are found in two rounds, both confirmed on wh
    an order drawn from ``TURNS``. These are as many pairs as there are rows, however large a group of copies is.
 2. The rest. If two sets are near, and all sets are put in one order, the first fifths (and one) of both share a
    shingle. So sets that meet under a shingle, are not yet of one component and may still reach the similarity by
-   size and place are paired. No pair is missed, whatever the order; the order puts shingles that a sample
-   shows to be common last, so that few sets meet in vain.
+   size and place are paired. Under the first shingle that two share nothing before it is common to both, so places
+   count as if each were the first, and sets whose first ``HEADS`` shingles tell that they have met before make no pair
+   again. No pair is missed, whatever the order; the order puts shingles that a sample shows to be common last, so
+   that few sets meet in vain.
 
 Before sets are sent to be confirmed, counts of their hashes in ranges bound what two can have in common: first in
 ``2 * SKETCH`` ranges, small enough to go with each row of a shingle, then in as many as half of the set has members.
@@ -38,8 +40,8 @@ from .words import Powers, mix, of_process, portions, sliced
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Documents that tell common shingles, shingles remembered as common, sets in a block, parts of a common shingle.
 SAMPLE, COMMON, BLOCK, PARTS = 8_000, 100_000, 2048, 64
-#: Orders in which rows of a shingle take partners, bytes of a sketch, sets that a task remembers to have given out.
-TURNS, SKETCH, SEEN = 8, 64, 500_000
+#: Orders in which rows of a shingle take partners, bytes of a sketch, sets that a task remembers to have given out, shingles that tell of an earlier meeting.
+TURNS, SKETCH, SEEN, HEADS = 8, 64, 500_000, 4
 TURN = np.uint64(0x9E3779B97F4A7C15)
 #: A row's part, size of its set and place in the order lie in one number, from these bits on.
 PART_AT, SIZE_AT = 56, 28
@@ -206,17 +208,23 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fits(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m, with a shingle in common at p and q of the order, may have enough in common."""
-    room = np.minimum(p, q) + np.minimum(n - p, m - q)
+    """Whether sets of n and m, whose first shingle in common is at p and q of the order, may have enough in common."""
+    room = np.minimum(n - p, m - q)
     return (np.minimum(n, m) * DENOMINATOR >= np.maximum(n, m) * NUMERATOR) & (room * (NUMERATOR + DENOMINATOR) >= (n + m) * NUMERATOR)
 
 
+def _met(own: np.ndarray, others: np.ndarray, at: int) -> np.ndarray:
+    """Whether a set meets others, by the first shingles of each, under one that lies before ``at`` in the order."""
+    return (others[:, :, None] == own[:at]).any(axis=(1, 2))
+
+
 def _between(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Pairs of a left and a right row of different components that may be near."""
     n, p = rows["size_at"] >> SIZE_AT, rows["size_at"] & LOW
     for i in left.tolist():
         fine = right[(rows["place"][right] != rows["place"][i])]
         fine = fine[_fits(n[i], n[fine], p[i], p[fine])]
+        fine = fine[~_met(rows["head"][i], rows["head"][fine], p[i])]
         fine = fine[_reach(rows["sketch"][i], rows["sketch"][fine], n[i], n[fine])]
         if fine.size:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fine), rows["key"][i])), pa.array(rows["key"][fine])], ["hub", "leaf"])
@@ -240,7 +248,8 @@ def _cells(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[d
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = {name: sketches(batch.column(name)) if name == "sketch" else batch.column(name).to_numpy() for name in batch.schema.names}
+        now = {name: batch.column(name).to_numpy() for name in batch.schema.names if name not in ("sketch", "head")}
+        now |= {"sketch": sketches(batch.column("sketch")), "head": batch.column("head").flatten().to_numpy().reshape(-1, HEADS)}
         if held is not None:
             now = {name: np.concatenate((held[name], now[name])) for name in now}
         change = np.zeros(len(now[by[0]]), bool)
@@ -283,7 +292,7 @@ def _dealt(heavy: DataFrame, block: int) -> DataFrame:
     rows = rows.withColumn("own", F.when(most, -1 - F.pmod(place, F.col("k0"))).otherwise(F.pmod(place, F.col("k1"))).cast("int"))
     meets = F.when(most, others).otherwise(F.concat(F.transform(F.sequence(F.lit(1), F.col("k0")), lambda x: -x), others))
     cells = rows.withColumn("with", F.explode(meets)).withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with"))
-    return cells.select("token", "key", "size_at", "place", "sketch", "own", "lo", "hi").repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "place")
+    return cells.select("token", "key", "size_at", "place", "sketch", "head", "own", "lo", "hi").repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "place")
 
 
 def wide(hashes: np.ndarray) -> np.ndarray:
@@ -393,7 +402,7 @@ def components(docs: DataFrame, close: Callable[[DataFrame], DataFrame], block:
     kind = docs.schema["doc_id"].dataType.simpleString()
     cut = Staged(docs.mapInArrow(_prefixes(common_shingles(docs, block)), f"doc_id {kind}, print long, key long, fp long, sketch binary, n int, prefix array<long>, part array<byte>"), "near-prefix")
     keys = Staged(cut.read().select("doc_id", "print", "key"), "near-keys")
-    firsts = Staged(cut.read().groupBy("key", "fp").agg(F.min(F.struct("doc_id", "print")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-first")
+    firsts = Staged(cut.read().groupBy("key", "fp").agg(F.min(F.struct("doc_id", "print")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.max(F.slice("prefix", 1, HEADS)).alias("head")), "near-first")
     sets = Sets(docs, firsts.read(), block)
     packed = F.shiftleft(F.col("at.part").cast("long") + 1, PART_AT).bitwiseOR(F.shiftleft(F.col("n").cast("long"), SIZE_AT)).bitwiseOR(F.col("pos").cast("long"))
     index = cut.read().select("key", "n", F.posexplode(F.arrays_zip("prefix", "part")).alias("pos", "at")).select(F.col("at.prefix").alias("token"), "key", packed.alias("size_at"))
@@ -411,7 +420,8 @@ def components(docs: DataFrame, close: Callable[[DataFrame], DataFrame], block:
     pairs.drop()
     found = Staged(connected_components(first_links.read()), "near-places")
     placed = met.read().select("token", "part", "key", "size_at").join(found.read().withColumnRenamed("node", "key"), "key", "left").select("token", "part", "key", "size_at", F.coalesce("component", "key").alias("place"))
-    held = Staged(placed.join(firsts.read().select("key", "sketch"), "key"), "near-placed")
+    head = F.array(*[F.coalesce(F.get("head", F.lit(i)), F.lit(0)) for i in range(HEADS)]).alias("head")
+    held = Staged(placed.join(firsts.read().select("key", "sketch", head), "key"), "near-placed")
     met.drop()
     light = held.read().where("part < 0").drop("part").repartition("token").sortWithinPartitions("token", "place").mapInArrow(_small, "hub long, leaf long")
     heavy = _dealt(held.read().where("part >= 0").drop("part"), block).mapInArrow(_large, "hub long, leaf long")

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -234,6 +235,32 @@ def test_bounds_of_common_shingles_hold():
     assert ruled >= 12
 
 
+def test_sets_that_share_common_shingles_but_are_not_near_make_no_pairs():
+    """60 sets with 340 of 400 shingles in common (similarity 0.74) make no pair, near copies of them are all found, and seldom twice."""
+    rng = np.random.default_rng(21)
+    draw = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    shared = np.unique(draw(340))
+    common = near.Common(shared, np.full(len(shared), 60, "u8"), 2048.0)
+    apart = [np.unique(np.concatenate((shared, draw(60)))) for _ in range(60)]
+    copies = [np.unique(np.concatenate((s[rng.permutation(len(s))[k:]], draw(k)))) for s in apart[:20] for k in (1, 20, 40)]
+
+    def made(sets):
+        rows = []
+        for key, s in enumerate(sets):
+            tokens = common.prefix(s, key)[0].view("i8")
+            rows += [(t, key, len(s) << near.SIZE_AT | at, key, near.sketch(s), np.resize(tokens, near.HEADS)) for at, t in enumerate(tokens)]
+        rows.sort(key=lambda r: (r[0], r[3]))
+        batch = pa.RecordBatch.from_pydict(dict(zip(("token", "key", "size_at", "place", "sketch", "head"), map(list, zip(*rows)))))
+        return [tuple(sorted(p.values())) for b in near._small(iter([batch])) for p in b.to_pylist()]
+
+    assert made(apart) == []
+    sets = apart + copies
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if near.are_near(sets[i], sets[j])}
+    got = made(sets)
+    assert len(want) >= 40 and want <= set(got)
+    assert len(got) <= 2 * len(set(got))
+
+
 def test_stage_keeps_distinct_texts_of_one_id(spark):
     rows = [(1, "one text about rivers and lakes"), (1, "quite another text about hills"), (1, "a copy of the third text here"), (0, "a copy of the third text here"), (2, "quite another text about hills")]
     for docs in (documents(spark, [(*r, None, None) for r in order]) for order in (rows, rows[::-1])):
