@@ -8,8 +8,10 @@ get their words to the right and left, are sorted by the words from the seed on,
 how many words they share to the right. The same to the left extends the match. Suffixes that share ``MINIMUM`` words in all, for each
 place of the seed among them, are repeats; overlapping ones are united, left and right, to whole passages.
 
-Seeds with more than ``HEAVY`` distinct surroundings are not brought together in a task: their stretches of ``MINIMUM`` words
-are dealt out by their own hashes and counted by aggregation, which finds the same at any size. Words around a seed are
+Seeds with more than ``HEAVY`` distinct surroundings are not brought together in a task. All stretches with some number of words left
+of the seed, from a to b, have a words there and ``SIDE`` - b on the right in common and take in b and ``SIDE`` - a at most: surroundings
+are told apart by the former, become one where they agree in the latter, and are compared if no more than ``HEAVY`` are left. Else the
+range of a to b is halved again; where a is b only one is left, so this ends at any size and finds the same. Words around a seed are
 compared by 32 bits of their hash, seeds by 64: two stretches that differ in a word pass for equal once in four billion.
 
 Words are as between white space. Null and empty texts and texts under ``MINIMUM`` words have no passages;
@@ -164,12 +166,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[kept.column(c).chunk(0) for c in ("seed", "around")], offsets, heads], ["seed", "around", "offsets", "heads"])
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both halves of a range of offsets: the words around the seed that stretches of the half take in (``part``, zeros beyond), and a hash
+    of those that all of its stretches have (``key``). Rows whose text ends inside the latter have no stretch there and are left out."""
+    before, away = np.arange(2 * SIDE) < SIDE, np.concatenate((np.arange(SIDE, 0, -1), np.arange(1, SIDE + 1)))
+    power = np.multiply.accumulate(np.full(2 * SIDE, BASE, "u8"))
     for batch in batches:
-        key = _stretches(batch.column("around").to_pylist())
-        row, offset = np.nonzero(key)
-        picked = pa.array(row)
-        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(picked) for c in ("seed", "around", "first", "last")], pa.array(offset.astype("i4")), pa.array(key[row, offset].view("i8"))], ["seed", "around", "first", "last", "offset", "stretch"])
+        words = np.frombuffer(b"".join(batch.column("around").to_pylist()), "<u4").reshape(-1, 2 * SIDE)
+        low, high = (batch.column(c).to_numpy().astype("i8")[:, None] for c in ("low", "high"))
+        middle = (low + high) // 2
+        for a, b in ((low, middle), (middle + 1, high)):
+            common = away <= np.where(before, a, SIDE - b)
+            rows = np.flatnonzero(((words != 0) | ~common).all(axis=1))
+            part = np.where(away <= np.where(before, b, SIDE - a), words, 0)[rows].astype("<u4")
+            sums = (np.where(common, words, 0)[rows] * power).sum(axis=1, dtype="u8")
+            key = mix(mix(sums + (a * (SIDE + 1) + b)[rows, 0].astype("u8")) + batch.column("seed").to_numpy().view("u8")[rows])
+            fixed = pa.Array.from_buffers(pa.binary(8 * SIDE), len(rows), [None, pa.py_buffer(part.tobytes())])
+            kept = [batch.column(c).take(pa.array(rows)) for c in ("seed", "around", "first", "last")]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(x[rows, 0].astype("i4")) for x in (a, b)], pa.array(key.view("i8")), fixed.cast(pa.binary())], ["seed", "around", "first", "last", "low", "high", "key", "part"])
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +196,37 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 KINDS = "seed long, around binary, offsets array<int>, heads array<long>"
+CUT = "seed long, around binary, first long, last long, low int, high int, key long, part binary"
+
+
+def _crowded(shape: DataFrame, heavy: int) -> Staged:
+    """Seeds with more than ``heavy`` rows. A table of known size: where it is small, as few seeds are in many texts, rows of such seeds do not meet on its account."""
+    return Staged(shape.groupBy("seed").count().where(F.col("count") > heavy).select("seed"), "suffix-crowded")
+
+
+def _compared(shape: DataFrame, many: DataFrame) -> DataFrame:
+    return shape.join(many, "seed", "left_anti").repartition("seed").sortWithinPartitions("seed", "around").mapInArrow(_compare, KINDS)
+
+
+def narrowed(shape: DataFrame, many: DataFrame, heavy: int) -> list[Staged]:
+    """Repeats among surroundings of crowded seeds, in tables by how far the range of offsets was halved: a row for each surrounding and range that has some."""
+    found, used = [], []
+    rows = shape.join(many, "seed", "left_semi").withColumns({"low": F.lit(0), "high": F.lit(SIDE)})
+    while not many.isEmpty():
+        cut = Staged(rows.mapInArrow(_cut, CUT), "suffix-cut")
+        # what differs only in words that no stretch of the range takes in is one row
+        parts = Staged(cut.read().groupBy(F.col("key").alias("seed"), F.col("part").alias("around")).agg(F.min("first").alias("first"), F.max("last").alias("last")), "suffix-parts")
+        crowded = _crowded(parts.read(), heavy)
+        many = crowded.read()
+        made = _compared(parts.read(), many).withColumnsRenamed({"seed": "key", "around": "part"})
+        found.append(Staged(cut.read().join(made, ["key", "part"]).select("seed", "around", "offsets", "heads"), "suffix-narrowed"))
+        rows = cut.read().join(many.withColumnRenamed("seed", "key"), "key", "left_semi").drop("key", "part")
+        for table in (*used, parts):
+            table.drop()
+        used = [cut, crowded]
+    for table in used:
+        table.drop()
+    return found
 
 
 def suffixes(docs: DataFrame) -> tuple[DataFrame, tuple[Staged, ...]]:
@@ -202,16 +247,14 @@ def repeats(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
         table.drop()
     shapes = Staged(around.groupBy("seed", "around").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "suffix-kinds")
     shape = shapes.read()
-    # tables of known size: where they are small, as few seeds are in many texts, rows of such seeds do not meet on their account
-    crowded = Staged(shape.groupBy("seed").count().where(F.col("count") > heavy).select("seed"), "suffix-crowded")
+    crowded = _crowded(shape, heavy)
     many = crowded.read()
-    light = shape.join(many, "seed", "left_anti").repartition("seed").sortWithinPartitions("seed", "around")
-    spread = shape.join(many, "seed", "left_semi").mapInArrow(_spread, "seed long, around binary, first long, last long, offset int, stretch long")
-    shared = spread.groupBy("seed", "offset", "stretch").agg(F.min("first").alias("head"), F.max("last").alias("tail")).where("head != tail").drop("tail")
-    shared = Staged(shared, "suffix-shared")
-    dealt = spread.join(shared.read(), ["seed", "offset", "stretch"]).groupBy("seed", "around").agg(F.collect_list("offset").alias("offsets"), F.collect_list("head").alias("heads"))
-    kinds = Staged(light.mapInArrow(_compare, KINDS).unionByName(shape.where("first != last").mapInArrow(_own, KINDS)).unionByName(dealt), "suffix-repeats")
-    for table in (shapes, shared, crowded):
+    narrow = narrowed(shape, many, heavy)
+    kinds = _compared(shape, many).unionByName(shape.where("first != last").mapInArrow(_own, KINDS))
+    for table in narrow:
+        kinds = kinds.unionByName(table.read())
+    kinds = Staged(kinds, "suffix-repeats")
+    for table in (shapes, crowded, *narrow):
         table.drop()
     return around.join(kinds.read(), ["seed", "around"]).select("doc_id", "pos", "offsets", "heads")
 

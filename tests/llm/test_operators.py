@@ -335,6 +335,36 @@ def test_passages_against_brute_force(spark, heavy):
     assert suffix.scan(docs.where("doc_id < 0")).count() == 0
 
 
+def joined(spark, work):
+    """The most rows that one join made while ``work`` ran, and what it gave."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, given = store.executionsCount(), work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most = 0
+    for i in range(before, store.executionsCount()):
+        one = store.executionsList().apply(i).executionId()
+        values, nodes = store.executionMetrics(one), store.planGraph(one).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            metrics = (node.metrics().apply(j) for j in range(node.metrics().size()))
+            rows = [values.get(m.accumulatorId()) for m in metrics if "Join" in node.name() and m.name() == "number of output rows"]
+            most = max([most, *(int(r.get().replace(",", "")) for r in rows if r.isDefined())])
+    return most, given
+
+
+def test_crowded_seeds_make_few_rows(spark):
+    """A passage in many surroundings: stretches are found by ranges, not each by a row of its own."""
+    rng = np.random.default_rng(7)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 50000, n))
+    passage, copies = text(75), 300
+    rows = [(i, f"{text(30)} {passage} {text(30)}") for i in range(copies)] + [(copies, passage), (copies + 1, " ".join(passage.split()[10:65]))]
+    docs = documents(spark, [(*r, None, None) for r in rows])
+    suffixes = suffix.repeats(docs).count()
+    most, said = joined(spark, lambda: {r["doc_id"]: (r["n_words"], r["extra_words"]) for r in suffix.scan(docs, 100).collect()})
+    assert said == {r["doc_id"]: (r["n_words"], r["extra_words"]) for r in suffix.scan(docs).collect()}
+    assert {k: v[0] for k, v in said.items()} == plain_passages(rows)
+    assert suffixes >= copies and most <= 3 * suffixes
+
+
 # -- benchmark
 
 
