@@ -29,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged_path, text_or_empty
+from .common import small_batches, staged_path, text_or_empty
 from .words import Powers, of_process, spans, stretch_hashes
 
 END, SAMPLE, DICT_BYTES, BLOCK_DOCS, BLOCK_BYTES = 1, 2000, 65536, 256, 1 << 20
 BLOCKS = "part int, block long, dict_hash string, first_doc long, last_doc long, docs array<long>, tokens array<int>, offsets array<long>, start long, total long, width int, data binary"
 #: Parts of words that a process remembers.
 MEMO = 600_000
+#: Documents handed to the writer at once, so that a task never holds all its texts in the JVM and in Python.
+BATCH_DOCS = 1024
 
 
 def default_path() -> str:
@@ -220,24 +222,24 @@ def _writer(path_of: Callable[[], str], made: bytes):
         encoder = Encoder.at(path_of())
         packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(made)) if _dictionary(made) else zstandard.ZstdCompressor(level=3)
         part, name = TaskContext.get().partitionId(), hashlib.sha256(made).hexdigest()
-        number = start = 0
+        number = start = held = 0
+        kind = f"<u{encoder.width}"
         docs: list = []
         frames: list[bytes] = []
         counts: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, start
+            nonlocal number, start, held
             total = sum(counts)
             ids = [d for d in docs if d is not None]
             row = [part, number, name, min(ids, default=None), max(ids, default=None), list(docs), list(counts), np.cumsum([0] + [len(f) for f in frames]).tolist(), start, total, encoder.width, b"".join(frames)]
             kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            number, start = number + 1, start + total
+            number, start, held = number + 1, start + total, 0
             for x in (docs, frames, counts):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
-            held, kind = 0, f"<u{encoder.width}"
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
                 docs.append(doc)
                 counts.append(len(ids))
@@ -245,7 +247,6 @@ def _writer(path_of: Callable[[], str], made: bytes):
                 held += len(frames[-1])
                 if len(docs) >= BLOCK_DOCS or held >= BLOCK_BYTES:
                     yield flush()
-                    held = 0
         if docs:
             yield flush()
 
@@ -293,7 +294,7 @@ class _Unpacker:
 def _reader(made: bytes, before: dict[int, int]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in chain.from_iterable(batch.slice(i, 1).to_pylist() for i in range(len(batch))):
                 frames, start, out = _Unpacker(made, row["dict_hash"]), before[row["part"]] + row["start"], []
                 for i, (doc, n) in enumerate(zip(row["docs"], row["tokens"])):
                     ids = frames.ids(row["data"][row["offsets"][i] : row["offsets"][i + 1]], row["width"])
@@ -316,7 +317,8 @@ def write(docs: DataFrame, path: str | None = None, path_of: Callable[[], str] =
     spark.createDataFrame([(hashlib.sha256(made).hexdigest(), made)], "name string, made binary").coalesce(1).write.parquet(f"{path}/dictionary")
     tie = F.xxhash64("text")
     placed = rows.withColumn("tie", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    placed.mapInArrow(_writer(path_of, made), BLOCKS).write.parquet(f"{path}/blocks")
+    with small_batches(spark, BATCH_DOCS):
+        placed.mapInArrow(_writer(path_of, made), BLOCKS).write.parquet(f"{path}/blocks")
     return TokenFile(spark, path)
 
 

@@ -6,6 +6,7 @@ odd base modulo 2^64, so all words of a portion of texts are found and hashed by
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -20,12 +21,27 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 _HELD: dict = {}
+#: Arrays of this many bytes are mapped on their own; of freed memory at the heap's end, this much may stay.
+MAPPED, SPARE = 1 << 20, 8 << 20
+
+
+def _returned() -> None:
+    """Memory that was freed goes back to the system, and large arrays do as soon as they are freed. A worker process lives on from one
+    operator to the next, and the C library by itself would keep for it the most that any of them had. Other C libraries are left as they are."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, MAPPED)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, SPARE)  # M_TRIM_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, TypeError, AttributeError):
+        pass
 
 
 def of_process(name: tuple, make: Callable[[], Any]) -> Any:
     """What this process remembers under a name, made when first asked for. One thing is held at a time: who comes next drops what an operator before it held."""
     if name not in _HELD:
         _HELD.clear()
+        _returned()
         _HELD[name] = make()
     return _HELD[name]
 
@@ -52,7 +68,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 def stretch_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
     """A hash, never 0, of values[start:end] for each pair."""
     up, down = powers.upto(len(values) + 1)
-    sums = np.append(np.uint64(0), np.cumsum(values * up[: len(values)], dtype="u8"))
+    sums = np.zeros(len(values) + 1, "u8")
+    np.multiply(values, up[: len(values)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype("u8")) | np.uint64(1)
 
 

@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
 
 import duckdb
@@ -669,6 +671,53 @@ def test_parts_of_words_give_the_tokenizers_ids():
             tokens.MEMO = kept
 
 
+def test_tokens_are_written_from_few_texts_at_a_time(spark, monkeypatch):
+    name, inner, most = "spark.sql.execution.arrow.maxRecordsPerBatch", tokens._writer, 100
+
+    def counted(path_of, made):
+        write = inner(path_of, made)
+
+        def few(batches):
+            for batch in batches:
+                if len(batch) > most:
+                    raise ValueError(f"{len(batch)} documents at once")
+                yield batch
+
+        return lambda batches: write(few(batches))
+
+    monkeypatch.setattr(tokens, "_writer", counted)
+    monkeypatch.setattr(tokens, "BATCH_DOCS", most, raising=False)
+    docs = documents(spark, [(i, f"word number {i}", None, None) for i in range(5000)]).coalesce(1)
+    before = spark.conf.get(name, None)
+    assert tokens.write(docs).read().count() == 5000
+    assert spark.conf.get(name, None) == before
+    spark.conf.set(name, "30")
+    try:
+        most = 30
+        assert tokens.write(docs).read().count() == 5000
+        assert spark.conf.get(name) == "30"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_a_process_returns_what_an_operator_before_held():
+    code = """
+import re
+import numpy as np
+from barwright.llm.words import of_process
+
+def held():
+    return int(re.search(r"Anonymous: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+
+of_process(("before",), lambda: [np.ones(100_000, "u1") for _ in range(1000)])
+above, most = np.ones(100_000, "u1"), held()
+of_process(("after",), list)
+print(most - held())
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert int(said.stdout.split()[-1]) > 80, said.stderr
+
+
 def test_tokens_in_order(spark, whole):
     said = queries.op6_tokens(spark, SF).toPandas().sort_values("doc_id")
     assert len(said) == len(whole)
