@@ -17,7 +17,10 @@ Arrays = dict[str, np.ndarray]
 
 
 class Bricks:
-    """A candle's high is looked at first and, if it makes bricks, alone; else its low. A turn needs ``reversal`` boxes."""
+    """A candle's high is looked at first and, if it makes bricks, alone; else its low. A turn needs ``reversal`` boxes.
+
+    A candle's bricks lie at multiples of the box from the level before it: box by box, roundings would add up.
+    """
 
     fields = (("brick", "long"), ("price", "double"), ("direction", "int"), ("row", "long"))
 
@@ -40,8 +43,9 @@ class Bricks:
                 boxes = int(reach / box) if reach >= box else 0
                 if not boxes or (way == -side and boxes < self.reversal):
                     continue
-                for _ in range(boxes):
-                    level += side * box
+                was = level
+                for n in range(1, boxes + 1):
+                    level = was + side * box * n
                     out.append((number, level, side, row - 1))
                     number += 1
                 way = side

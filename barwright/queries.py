@@ -427,7 +427,7 @@ SELECT key, i AS row, {x}::BIGINT AS x_start, floor({x} + slot * 0.8)::BIGINT AS
 SELECT key, 0::BIGINT AS x1, (i * {int(720 * 0.7)} // 10)::BIGINT AS y1, 1280::BIGINT AS x2, (i * {int(720 * 0.7)} // 10)::BIGINT AS y2 FROM h UNION ALL
 SELECT key, floor(i * (1280.0::DOUBLE / (n + 1)))::BIGINT, 0, floor(i * (1280.0::DOUBLE / (n + 1)))::BIGINT, {int(720 * 0.7)} FROM v""",
     )
-    bricked = lambda spark, d: bricks.renko(candles(spark, d), BARS, 8.0)
+    bricked = lambda spark, d: bricks.renko(candles(spark, d), BARS, 8.0).withColumn("price", _shown("price"))
     renko = ALL["renko"][1].replace("median(y) * 0.75::DOUBLE AS box", "8.0::DOUBLE AS box")
     ALL["renko_geometry"] = (
         lambda spark, d: geometry.renko_boxes(bricked(spark, d), BARS, 8.0, 1280, 720).withColumn("direction", F.col("direction").cast("long")),

@@ -5,6 +5,8 @@ import shutil
 import subprocess
 import sys
 
+import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -46,3 +48,30 @@ def test_engine_needs_no_training_data_operators(tmp_path, left):
         (tmp_path / "barwright/llm/__init__.py").write_text("import a_library_that_is_not_there\n")
     code = "import __spark_entry__ as e; assert len(e.queries()) > 80 and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def compared(spark, folder, name, prices):
+    """Rows of the query and their differences from its SQL, on ticks (four-hour bar, price) of one series in this order."""
+    n = range(len(prices))
+    ts = [pd.Timestamp("2024-01-01") + pd.Timedelta(hours=4 * bar, seconds=i) for i, (bar, _) in zip(n, prices)]
+    events = pd.DataFrame({"event_id": n, "ts": pd.Series(ts).astype("datetime64[us]"), "user_id": n, "event_type": "a", "value": [p for _, p in prices], "props": "{}"})
+    events.to_parquet(folder / "events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    made = engine.queries()[name](spark, str(folder)).toPandas()
+    return made, differences(made, duck.execute(engine.oracle_sql()[name]).fetchdf())
+
+
+#: From 0.02 up 20 boxes of 8, then down by exactly one: added box by box, the level is too low for the last.
+EXACT_TURN = [(0, 161.02), (0, 0.02), (1, 152.02)]
+
+
+def test_renko_geometry_of_a_turn_by_exactly_one_box(spark, tmp_path):
+    made, different = compared(spark, tmp_path, "renko_geometry", EXACT_TURN)
+    assert different == [] and len(made) == 21
+
+
+def test_renko_geometry_takes_prices_as_the_bricks_show_them(spark, tmp_path):
+    """The bounds are 503 boxes apart, and the chart 503 pixels high: each brick's y lies on the edge of a pixel."""
+    made, different = compared(spark, tmp_path, "renko_geometry", [(0, 4017.01), (0, 0.01), (1, 1.01)])
+    assert different == [] and len(made) == 1003
