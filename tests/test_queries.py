@@ -75,3 +75,9 @@ def test_renko_geometry_takes_prices_as_the_bricks_show_them(spark, tmp_path):
     """The bounds are 503 boxes apart, and the chart 503 pixels high: each brick's y lies on the edge of a pixel."""
     made, different = compared(spark, tmp_path, "renko_geometry", [(0, 4017.01), (0, 0.01), (1, 1.01)])
     assert different == [] and len(made) == 1003
+
+
+def test_renko_table_function_of_a_turn_by_exactly_one_box(spark, tmp_path):
+    made, different = compared(spark, tmp_path, "renko_table_function", EXACT_TURN)
+    assert different == []
+    assert made.sort_values("brick")[["price", "direction", "row"]].to_numpy().tolist()[-2:] == [[160.02, 1, 0], [152.02, -1, 1]]
